@@ -243,3 +243,21 @@ def feature_catalogue(spark) -> DataFrame:
     )
     rows = [(name, group) for group, names in groups for name in names]
     return spark.createDataFrame(rows, "feature string, feature_group string")
+
+
+def fingerprint(matrix: DataFrame) -> DataFrame:
+    """One row that changes when any feature or target value changes.
+
+    Row hashes are added up, so the result does not depend on the order of the rows and
+    needs no sort.
+    """
+    columns = [*GRAIN, *FEATURES, TARGET]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return matrix.agg(F.count("*").alias("n"), total.alias("total")).select(
+        F.col("n").alias("hashed_rows"),
+        F.sha2(
+            F.concat_ws("|", F.col("n").cast("string"), F.col("total").cast("string"),
+                        F.lit(",".join(columns))),
+            256,
+        ).alias("fingerprint"),
+    )
