@@ -1,5 +1,5 @@
 """All families together."""
 
-from nightledger.catalog import features
+from nightledger.catalog import features, pricing
 
-QUERIES = {**features.QUERIES}
+QUERIES = {**features.QUERIES, **pricing.QUERIES}

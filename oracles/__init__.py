@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("features",)
+FAMILIES = ("features", "pricing")
 
 
 def statements() -> dict[str, str]:
