@@ -1,5 +1,5 @@
 """All families together."""
 
-from nightledger.catalog import features, pricing
+from nightledger.catalog import features, models, pricing
 
-QUERIES = {**features.QUERIES, **pricing.QUERIES}
+QUERIES = {**features.QUERIES, **pricing.QUERIES, **models.QUERIES}

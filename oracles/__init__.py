@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("features", "pricing")
+FAMILIES = ("features", "pricing", "models")
 
 
 def statements() -> dict[str, str]:
