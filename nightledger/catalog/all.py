@@ -1,5 +1,5 @@
 """All families together."""
 
-from nightledger.catalog import features, models, pricing
+from nightledger.catalog import features, models, pricing, reports
 
-QUERIES = {**features.QUERIES, **pricing.QUERIES, **models.QUERIES}
+QUERIES = {**features.QUERIES, **pricing.QUERIES, **models.QUERIES, **reports.QUERIES}

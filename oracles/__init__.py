@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("features", "pricing", "models")
+FAMILIES = ("features", "pricing", "models", "reports")
 
 
 def statements() -> dict[str, str]:
