@@ -1,5 +1,5 @@
 """All families together."""
 
-from nightledger.catalog import features, models, pricing, reports
+from nightledger.catalog import features, models, monitoring, pricing, reports
 
-QUERIES = {**features.QUERIES, **pricing.QUERIES, **models.QUERIES, **reports.QUERIES}
+QUERIES = {**features.QUERIES, **pricing.QUERIES, **models.QUERIES, **reports.QUERIES, **monitoring.QUERIES}

@@ -258,7 +258,7 @@ def x16(spark, folder):
     return settled(
         merged.select(
             *GRAIN, "search_demand", "weather_score", "local_event_score", "occupancy_rate",
-            TARGET, "holiday_flag",
+            TARGET, F.col("holiday_flag").cast("int").alias("holiday_flag"),
         ),
         occupancy_rate=9,
         target_demand=9,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("features", "pricing", "models", "reports")
+FAMILIES = ("features", "pricing", "models", "reports", "monitoring")
 
 
 def statements() -> dict[str, str]:

@@ -14,6 +14,8 @@ from nightledger.functions.horizon import thresholds
 from nightledger.sources.warehouse import CITIES, ROOM_COUNTS, ROOM_CYCLE, SEGMENT_CYCLE
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+# Long chains of dependent expressions, which inlining would multiply.
+COMPUTED_ONCE = {"guarded", "guarded_grid", "swept", "repriced"}
 
 
 def cte(name: str, body: str, *needs: str) -> None:
@@ -35,7 +37,10 @@ def compose(body: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return body.strip()
-    parts = ",\n".join(f"{name} AS (\n{CTES[name][1]}\n)" for name in ordered)
+    parts = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in COMPUTED_ONCE else ''}(\n{CTES[name][1]}\n)"
+        for name in ordered
+    )
     return f"WITH {parts}\n{body.strip()}"
 
 

@@ -175,8 +175,7 @@ SELECT {GRAIN}, coalesce(g.search_demand, m.search_demand) AS search_demand,
        coalesce(g.weather_score, m.weather_score) AS weather_score,
        coalesce(g.local_event_score, m.local_event_score) AS local_event_score,
        round(m.occupancy_rate, 9) AS occupancy_rate, round(m.target_demand, 9) AS target_demand,
-       CASE WHEN g.search_demand IS NULL THEN m.holiday_flag = 1 ELSE m.holiday_flag = 1 AND false END
-         AS holiday_flag
+       m.holiday_flag::INT AS holiday_flag
 FROM signals g FULL OUTER JOIN matrix m USING (hotel_id, room_type, stay_date)
 """,
     "signals",
