@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("features", "pricing", "models", "reports", "monitoring")
+FAMILIES = ("features", "pricing", "models", "reports", "monitoring", "streaming")
 
 
 def statements() -> dict[str, str]:
