@@ -32,8 +32,9 @@ def with_horizon(
     draw = f"cast(conv(substring(md5({key}), 1, 8), 16, 10) AS BIGINT)"
     *steps, (_, furthest) = thresholds(config)
     cases = " ".join(f"WHEN _draw < {edge} THEN {horizon}" for edge, horizon in steps)
+    choice = f"CASE {cases} ELSE {furthest} END" if steps else str(furthest)
     return (
         rows.withColumn("_draw", F.expr(draw))
-        .withColumn(name, F.expr(f"CASE {cases} ELSE {furthest} END"))
+        .withColumn(name, F.expr(choice))
         .drop("_draw")
     )

@@ -83,9 +83,13 @@ def city_event_override(frame: DataFrame, city_days: DataFrame) -> DataFrame:
     return joined.withColumn("local_event_score", score).drop("_city", "_day", "_score")
 
 
-def derived_columns(frame: DataFrame, config: FeatureConfig = FEATURE_CONFIG) -> DataFrame:
-    """Ratios and interactions.  The same code runs for training, serving and rebuild."""
-    furthest = float(max(config.horizons))
+def derived_columns(frame: DataFrame) -> DataFrame:
+    """Ratios and interactions.  The same code runs for training, serving and rebuild.
+
+    The scales are those of the standard configuration whatever horizons a build samples,
+    so that a feature means the same in every matrix.
+    """
+    furthest = float(max(FEATURE_CONFIG.horizons))
     return frame.withColumns(
         {
             "price_to_competitor": F.expr(
@@ -96,7 +100,7 @@ def derived_columns(frame: DataFrame, config: FeatureConfig = FEATURE_CONFIG) ->
                 "greatest(0D, least(2D, coalesce((competitor_max_rate - competitor_min_rate)"
                 " / nullif(competitor_rate, 0D), 0D)))"
             ),
-            "pickup_velocity": F.expr(f"booking_count / {float(config.pickup_window_days)}D"),
+            "pickup_velocity": F.expr(f"booking_count / {float(FEATURE_CONFIG.pickup_window_days)}D"),
             "occupancy_x_lead": F.expr(
                 f"occupancy_rate * (1D - days_to_checkin / {furthest}D)"
             ),

@@ -82,7 +82,7 @@ def feature_matrix(
     if hotels is not None:
         frame = frame.join(hotels.select("hotel_id", "city"), "hotel_id", "left")
         frame = X.city_event_override(frame, city_event_days(spark, *CALENDAR_SPAN))
-    frame = X.derived_columns(frame, config)
+    frame = X.derived_columns(frame)
     return frame.select(
         *GRAIN,
         "snapshot_date",
@@ -162,7 +162,7 @@ def serving_rows(
             "current_room_price": F.coalesce(given("current_price"), base),
         }
     )
-    rows = X.derived_columns(rows, config)
+    rows = X.derived_columns(rows)
     return rows.select(*GRAIN, *X.ordered_features())
 
 
@@ -178,7 +178,7 @@ def stored_columns(matrix: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_matrix(stored: DataFrame, config: FeatureConfig = FEATURE_CONFIG) -> DataFrame:
+def rebuild_matrix(stored: DataFrame) -> DataFrame:
     """Model input from stored base columns; everything else is a function of them."""
     spark = stored.sparkSession
     frame = with_calendar(stored.drop("holiday_name"), spark, *CALENDAR_SPAN)
@@ -191,7 +191,7 @@ def rebuild_matrix(stored: DataFrame, config: FeatureConfig = FEATURE_CONFIG) ->
             ).otherwise(0.0),
             }
     ).withColumns(X.season_flags())
-    frame = X.derived_columns(frame, config)
+    frame = X.derived_columns(frame)
     return frame.select(*GRAIN, *X.ordered_features(), TARGET)
 
 
