@@ -17,7 +17,7 @@ HEADLINES = (
     "m5_series_report",
     "a4_trading_kpis",
     "a22_nightly_facts",
-    "t5_reference_rules",
+    "d11_population_stability",
     "k12_redacted_documents",
 )
 
