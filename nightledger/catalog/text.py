@@ -65,17 +65,22 @@ def k11(spark, folder):
 
 
 def card_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A results page per room night, its cards in order; some nights use another layout."""
+    """Results pages of a room night, cards in order; some nights use another layout.
+
+    Cards are spread over pages by ranges of 4096 keys, so a page has a bounded number of
+    cards however popular the night is.
+    """
     card = (
         "concat('<div class=\"card\"><p class=\"unit\">', unit_text, '</p><span class=\"price\">',"
         " price_text, '</span></div>')"
     )
     return (
         shown_rates(spark, folder)
-        .groupBy("hotel_id", "room_type", "check_in_date")
+        .groupBy("hotel_id", "room_type", "check_in_date", F.expr("k div 4096").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("k", F.expr(card).alias("card")))).alias("cards"))
         .selectExpr(
-            "concat_ws('|', hotel_id, room_type, cast(check_in_date AS STRING)) AS page_id",
+            "concat_ws('|', hotel_id, room_type, cast(check_in_date AS STRING), cast(page AS STRING))"
+            " AS page_id",
             "room_type",
             "CASE WHEN dayofyear(check_in_date) % 9 = 0"
             " THEN concat('<html>', replace(array_join(transform(cards, c -> c.card), ''), 'div', 'section'), '</html>')"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightledger.config import FEATURES, GRAIN, ROOM_KEY, TARGET
 from nightledger.functions.numeric import ratio
+from nightledger.operators.quantiles import exact_quantiles
 
 WINDOW_NIGHTS = 30
 
@@ -167,17 +168,26 @@ def event_band(score: str = "local_event_score"):
 def price_spread(rates: DataFrame, by: str = "competitor") -> DataFrame:
     """Five-number summary of prices per group.
 
-    The percentile works on (price, count) pairs, so prices are counted first and a
-    group with a third of all rows arrives as its distinct prices.
+    Prices are counted first and only the buckets around the five ranks are ordered, so a
+    group with a third of all rows is never gathered in one task.
     """
-    counted = rates.groupBy(by, "price").agg(F.count("*").alias("n"))
-    quantiles = F.expr("percentile(price, array(0D, 0.25D, 0.5D, 0.75D, 1D), n)")
-    return counted.groupBy(by).agg(quantiles.alias("q")).selectExpr(
+    counted = rates.groupBy(by, F.col("price").alias("value")).agg(F.count("*").alias("n"))
+    return exact_quantiles(counted, [by], [0.0, 0.25, 0.5, 0.75, 1.0]).selectExpr(
         by, "q[0] AS lowest", "q[1] AS lower_quartile", "q[2] AS median",
         "q[3] AS upper_quartile", "q[4] AS highest",
     )
 
 
+def median(frame: DataFrame, column: str) -> DataFrame:
+    """Exact median of a column of any length, as one row."""
+    counted = (
+        frame.where(F.col(column).isNotNull())
+        .groupBy(F.lit(0).alias("_all"), F.col(column).alias("value"))
+        .agg(F.count("*").alias("n"))
+    )
+    return exact_quantiles(counted, ["_all"], [0.5]).select(F.col("q")[0].alias("median"))
+
+
 def feed_status(rates: DataFrame, as_of: str) -> DataFrame:
     """Rows in total and within the last hour, the newest observation, rows per source."""
     per_source = rates.groupBy("source").agg(
@@ -240,15 +250,14 @@ def target_correlations(matrix: DataFrame) -> DataFrame:
 
 def grouped_correlation(frame: DataFrame, left: str, right: str) -> DataFrame:
     """Lowest, median and highest correlation within the rooms."""
-    return (
+    per_room = (
         frame.groupBy(*ROOM_KEY)
-        .agg(F.corr(left, right).alias("r"))
-        .where("r IS NOT NULL AND NOT isnan(r)")
-        .agg(
-            F.min("r").alias("lowest"),
-            F.expr("percentile(r, 0.5D)").alias("median"),
-            F.max("r").alias("highest"),
-        )
+        .agg(F.corr(left, right).alias("value"))
+        .where("value IS NOT NULL AND NOT isnan(value)")
+    )
+    counted = per_room.groupBy(F.lit(0).alias("_all"), "value").agg(F.count("*").alias("n"))
+    return exact_quantiles(counted, ["_all"], [0.0, 0.5, 1.0]).selectExpr(
+        "q[0] AS lowest", "q[1] AS median", "q[2] AS highest"
     )
 
 

@@ -22,6 +22,7 @@ from nightledger.config import (
     PricingConfig,
 )
 from nightledger.operators.metrics import evaluate
+from nightledger.operators.quantiles import exact_quantiles
 
 RANK = "CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END"
 
@@ -234,18 +235,18 @@ def population_stability(
     """PSI per key between reference and current values, all keys in one job.
 
     ``long`` holds the keys, ``value`` and ``recent``.  Bin edges are quantiles of the
-    reference side.  Values are counted before the quantiles are taken, so a feature is
-    summarised from its distinct values, and the binning itself is a conditional count.
+    reference side, found without gathering a feature in one task; the binning itself is
+    a conditional count over (value, count) pairs.
     """
     usable = long.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) <> double('Infinity')")
     counted = usable.groupBy(*keys, "value").agg(
         F.count_if(~F.col("recent")).alias("old"), F.count_if("recent").alias("new")
     )
-    steps = ", ".join(f"{i / config.psi_bins}D" for i in range(config.psi_bins + 1))
+    steps = [i / config.psi_bins for i in range(config.psi_bins + 1)]
+    quantiles = exact_quantiles(counted, keys, steps, weight="old")
     stats = (
         counted.groupBy(*keys)
         .agg(
-            F.expr(f"percentile(value, array({steps}), old)").alias("q"),
             F.sum("old").alias("reference_n"),
             F.sum("new").alias("current_n"),
             (F.sum(F.col("value") * F.col("old")) / F.nullif(F.sum("old"), F.lit(0))).alias(
@@ -255,6 +256,7 @@ def population_stability(
                 "current_mean"
             ),
         )
+        .join(quantiles, keys, "left")
         .withColumn("edges", F.expr("array_sort(array_distinct(q))"))
         .withColumn("inner", F.expr("CASE WHEN size(edges) >= 3 THEN slice(edges, 2, size(edges) - 2) END"))
     )

@@ -171,8 +171,9 @@ SQL["k11_nightly_prices"] = compose(
 cte(
     "cards",
     """
-SELECT hotel_id || '|' || room_type || '|' || check_in_date::VARCHAR AS page_id, room_type,
-  (row_number() OVER (PARTITION BY hotel_id, room_type, check_in_date ORDER BY k) - 1)::INT AS position,
+SELECT hotel_id || '|' || room_type || '|' || check_in_date::VARCHAR || '|' || (k // 4096)::VARCHAR AS page_id,
+  room_type, (row_number() OVER (PARTITION BY hotel_id, room_type, check_in_date, k // 4096 ORDER BY k) - 1)::INT
+    AS position,
   price, CASE k % 6 WHEN 1 THEN 'standard' ELSE named END AS card_room,
   dayofyear(check_in_date) % 9 = 0 AS odd
 FROM texts
