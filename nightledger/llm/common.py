@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import nightledger
 from nightledger.session import work_dir
 
 #: What separates words: space and the ASCII controls 9 to 13.
@@ -18,9 +23,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the batches to Python workers by bytes, so that long texts do not add up."""
+def prepare(spark: SparkSession) -> None:
+    """Make the session ready for Python workers: batches are bounded by bytes, so that long
+    texts do not add up, and this package is sent along, so that workers can import it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    context = spark.sparkContext
+    if not getattr(context, "_nightledger_sent", None):
+        package = Path(nightledger.__file__).resolve().parent
+        # Served by the driver while it lives, so it is a folder of the driver's own.
+        folder = tempfile.TemporaryDirectory()
+        archive = Path(folder.name, "nightledger.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, str(Path("nightledger", file.relative_to(package))))
+        context.addPyFile(str(archive))
+        context._nightledger_sent = folder
 
 
 def store(frame: DataFrame, name: str) -> DataFrame:
