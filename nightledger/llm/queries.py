@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from nightledger.llm import mixing, packing, sharding
+from nightledger.llm import language, mixing, packing, sharding
 
 QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op7_rendezvous_shards": sharding.query,
     "op8_source_mix": mixing.query,
+    "op10_ppm_language": language.query,
 }
 
 ORACLES = {
