@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, mixing, packing, sharding
+from nightledger.llm import language, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op2_pu_quality": quality.query,
     "op5_best_fit_packing": packing.query,
     "op7_rendezvous_shards": sharding.query,
     "op8_source_mix": mixing.query,
