@@ -83,6 +83,10 @@ class Trees:
         return self.langs[best], float(1.0 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
 
 
+#: What empty training text gives.
+NOTHING = Trees([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((0, 1, 1), np.float32))
+
+
 def grow(counts: pd.DataFrame, model_bytes: int = MODEL_BYTES, symbols: int = SYMBOLS) -> Trees:
     """Trees from counts of byte quadruples: lang, code, n."""
     langs = sorted(counts["lang"].unique())
@@ -165,12 +169,16 @@ def train(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, model_bytes: i
     """Trees for the languages of ``documents`` (doc_id, text, lang); rows without either are left out."""
     prepare(documents.sparkSession)
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"))
+    # One row per language; joining it instead would shuffle all texts by language.
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    if not sizes:
+        return NOTHING
+    size = F.element_at(F.create_map(*[F.lit(v) for row in sizes for v in (row["lang"], float(row["b"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(sizes, "lang").where(draw * F.col("b") < sample_bytes).select("lang", "text")
+    sample = known.where(draw * size < float(sample_bytes)).select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()
-    return grow(rows, model_bytes) if len(rows) else Trees([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((0, 1, 1), np.float32))
+    return grow(rows, model_bytes) if len(rows) else NOTHING
 
 
 def identify(documents: DataFrame, trees: Trees) -> DataFrame:
