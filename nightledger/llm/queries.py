@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, mixing, packing, quality, sharding, toxicity
+from nightledger.llm import language, mixing, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_pu_quality": quality.query,
     "op4_weak_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
+    "op6_bbit_minhash": neardup.query,
     "op7_rendezvous_shards": sharding.query,
     "op8_source_mix": mixing.query,
     "op10_ppm_language": language.query,
