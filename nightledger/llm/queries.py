@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, mixing, neardup, packing, quality, sharding, toxicity
+from nightledger.llm import language, mixing, neardup, packing, quality, sharding, spotsigs, toxicity
 
 QUERIES = {
     "op2_pu_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bbit_minhash": neardup.query,
     "op7_rendezvous_shards": sharding.query,
     "op8_source_mix": mixing.query,
+    "op9_spotsigs": spotsigs.query,
     "op10_ppm_language": language.query,
 }
 
