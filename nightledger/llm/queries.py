@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, mixing, neardup, packing, quality, sharding, spotsigs, toxicity
+from nightledger.llm import language, mixing, neardup, packing, quality, sharding, spotsigs, topk, toxicity
 
 QUERIES = {
+    "op1_exact_top_k": topk.query,
     "op2_pu_quality": quality.query,
     "op4_weak_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_exact_top_k": topk.SQL,
     "op7_rendezvous_shards": sharding.SQL,
     "op8_source_mix": mixing.SQL,
 }
