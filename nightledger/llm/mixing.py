@@ -53,17 +53,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     order = Window.orderBy("_mix_none", "_mix_source")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
     ranked = sizes.select("*", w.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("limit"))
-    filling = Window.orderBy(F.col("limit") / F.col("w"), "_mix_none", "_mix_source").rowsBetween(Window.unboundedPreceding, -1)
+    filled = Window.orderBy(F.col("limit") / F.col("w"), "_mix_none", "_mix_source")
+    filling = filled.rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.select(
         "*",
         F.sum("source_size").over(whole).alias("all"),
         F.sum("w").over(whole).alias("all_w"),
         F.coalesce(F.sum("limit").over(filling), F.lit(0.0)).alias("full"),
         F.coalesce(F.sum("w").over(filling), F.lit(0.0)).alias("full_w"),
+        F.row_number().over(filled).alias("turn"),
     )
     level = (F.lit(float(share)) * F.col("all") - F.col("full")) / (F.col("all_w") - F.col("full_w"))
-    ranked = ranked.withColumn("level", F.when(F.col("limit") > level * F.col("w"), level))
-    ranked = ranked.withColumn("level", F.min("level").over(whole))
+    # The first source that does not reach its limit sets the level for all that follow.
+    ranked = ranked.withColumn("first", F.when(F.col("limit") > level * F.col("w"), F.struct("turn", level.alias("level"))))
+    ranked = ranked.withColumn("level", F.min("first").over(whole)["level"])
     return ranked.select(
         "_mix_none",
         "_mix_source",
@@ -163,11 +166,12 @@ s AS (
   FROM d GROUP BY source),
 f AS (
   SELECT *, 2.0::DOUBLE * source_size AS lim, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS total_w,
-    coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0) AS filled, coalesce(sum(w) OVER o, 0) AS filled_w
+    coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0) AS filled, coalesce(sum(w) OVER o, 0) AS filled_w,
+    row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, none, source) AS turn
   FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (
-  SELECT min(CASE WHEN lim > (1.5::DOUBLE * total - filled) / (total_w - filled_w) * w
-    THEN (1.5::DOUBLE * total - filled) / (total_w - filled_w) END) AS level FROM f),
+  SELECT arg_min((1.5::DOUBLE * total - filled) / (total_w - filled_w), turn)
+    FILTER (lim > (1.5::DOUBLE * total - filled) / (total_w - filled_w) * w) AS level FROM f),
 t AS (
   SELECT source, source_size, least(lim, coalesce(level * w, lim)) AS target FROM f, l),
 g AS (
