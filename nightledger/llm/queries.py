@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, mixing, neardup, packing, quality, sharding, spotsigs, topk, toxicity
+from nightledger.llm import language, licenses, mixing, neardup, packing, quality, sharding, spotsigs, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
     "op2_pu_quality": quality.query,
+    "op3_license_scan": licenses.query,
     "op4_weak_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
     "op6_bbit_minhash": neardup.query,
