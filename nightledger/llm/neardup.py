@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
-A document is the set of its distinct five-word shingles, as 64-bit hashes.  256 minima are taken
-per set; the low four bits of each are kept and packed into 128 bytes, and 192 of the whole
+A document is the set of its distinct five-word shingles, as 64-bit hashes.  512 minima are taken
+per set; the low four bits of each are kept and packed into 256 bytes, and 192 of the whole
 minima make 32 band keys of six.  Sets that agree are one class with one representative.
 Representatives that share a band key are candidates; how often their packed signatures agree,
 corrected for chance agreement (1/16), estimates their similarity, and only pairs within four
@@ -39,7 +39,7 @@ from nightledger.llm.common import prepare, store, table
 from nightledger.llm.components import components
 
 WORDS_PER_SHINGLE = 5
-HASHES, BITS = 256, 4
+HASHES, BITS = 512, 4
 BANDS, ROWS = 32, 6
 THRESHOLD = 85
 STANDARD_ERRORS = 4.0
@@ -213,7 +213,7 @@ class Linker:
         crowds = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(turn).alias("lead")).where("c > 1")
         self.crowded = store(banded.join(crowds, "key").withColumn("lead", F.col("lead") == turn), "crowded")
         ids = self.crowded.select(F.col("id").alias("doc_id")).distinct()
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
         self.sets = store(texts.mapInPandas(_sets, "id long, items array<long>"), "sets")
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
