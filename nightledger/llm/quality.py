@@ -130,21 +130,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(gradient, size: int) -> np.ndarray:
-    """Adam over full batches, from zero: the same data give the same weights."""
+    """Adam over full batches, from zero: the same data give the same weights.
+
+    ``gradient`` gives the risk and its gradient; the weights of least risk are returned, since
+    climbing back from a negative term may end anywhere."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    least, best = np.inf, w
     for t in range(1, STEPS + 1):
-        g = gradient(w) + SHRINK * np.append(w[:-1], 0)
+        risk, g = gradient(w)
+        risk += SHRINK / 2 * (w[:-1] ** 2).sum()
+        if risk < least:
+            least, best = risk, w
+        g = g + SHRINK * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    return best
 
 
 def pilot(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
     """Weights that tell positives from unlabelled rows, both sides weighing the same."""
 
     def gradient(w):
-        p, u = _sigmoid(positive @ w), _sigmoid(unlabelled @ w)
-        return (positive * (p - 1)[:, None]).mean(0) + (unlabelled * u[:, None]).mean(0)
+        gp, gu = positive @ w, unlabelled @ w
+        risk = np.logaddexp(0, -gp).mean() + np.logaddexp(0, gu).mean()
+        return risk, (positive * (_sigmoid(gp) - 1)[:, None]).mean(0) + (unlabelled * _sigmoid(gu)[:, None]).mean(0)
 
     return _descend(gradient, positive.shape[1])
 
@@ -154,8 +163,7 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     p = positive[::-1].cumsum() / max(1, positive.sum())
     u = unlabelled[::-1].cumsum() / max(1, unlabelled.sum())
     some = p >= LEAST_REGION
-    slack = np.sqrt(np.maximum(u * (1 - u), 0) / max(1, unlabelled.sum()))
-    return float(np.clip(((u + slack)[some] / p[some]).min(), 0.01, 0.99))
+    return float(np.clip((u[some] / p[some]).min(), 0.01, 0.99))
 
 
 def non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
@@ -165,9 +173,10 @@ def non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
         gp, gu = positive @ w, unlabelled @ w
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         of_negative = (unlabelled * _sigmoid(gu)[:, None]).mean(0) - prior * (positive * _sigmoid(gp)[:, None]).mean(0)
+        risk = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
         if negative < 0:
-            return -of_negative
-        return prior * (positive * (_sigmoid(gp) - 1)[:, None]).mean(0) + of_negative
+            return risk, -of_negative
+        return risk, prior * (positive * (_sigmoid(gp) - 1)[:, None]).mean(0) + of_negative
 
     return _descend(gradient, positive.shape[1])
 
