@@ -10,7 +10,6 @@ from nightledger.config import FEATURES, GRAIN, TARGET
 from nightledger.functions import calendar as C
 from nightledger.functions.horizon import with_horizon
 from nightledger.functions.numeric import settled
-from nightledger.operators import baseline
 from nightledger.operators import bookings as B
 from nightledger.operators import features as X
 from nightledger.operators import history as H
@@ -279,9 +278,7 @@ def x5(spark, folder):
 @QUERIES.add("x6_calendar_features")
 def x6(spark, folder):
     frame = C.with_calendar(
-        B.skeleton(booked(spark, folder), stock(spark, folder)).select(*GRAIN),
-        spark,
-        *P.CALENDAR_SPAN,
+        B.skeleton(booked(spark, folder), stock(spark, folder)).select(*GRAIN)
     )
     return X.calendar_columns(frame).drop("leisure_bias")
 
@@ -412,13 +409,14 @@ def k2(spark, folder):
 
 @QUERIES.add("k3_holiday")
 def k3(spark, folder):
-    known = C.holidays(spark, *P.CALENDAR_SPAN).withColumnRenamed("day", "stay_date")
-    return nights(spark, folder).join(F.broadcast(known), "stay_date", "left")
+    on = C.holiday_on(F.col("stay_date"))
+    names = ("holiday_name", "leisure_bias", "significance")
+    return nights(spark, folder).withColumns({name: on[name] for name in names})
 
 
 @QUERIES.add("k4_holiday_proximity")
 def k4(spark, folder):
-    return C.with_calendar(nights(spark, folder), spark, *P.CALENDAR_SPAN).select(
+    return C.with_calendar(nights(spark, folder)).select(
         "stay_date", "holiday_proximity"
     )
 
@@ -435,40 +433,23 @@ def k5(spark, folder):
 
 @QUERIES.add("k6_event_score")
 def k6(spark, folder):
-    table = C.city_event_days(spark, W.FIRST_DAY, W.LAST_DAY).withColumnRenamed("day", "stay_date")
-    return (
-        hotel_nights(spark, folder)
-        .join(F.broadcast(table), ["city", "stay_date"], "left")
-        .select(
-            "hotel_id",
-            "stay_date",
-            F.coalesce("event_score", F.lit(0.0)).alias("event_score"),
-            F.concat_ws("; ", "event_names").alias("event_names"),
-        )
-    )
-
-
-@QUERIES.add("k7_demand_index")
-def k7(spark, folder):
-    profile = hotel_nights(spark, folder).withColumns(
-        {
-            "base_occupancy": F.expr("0.6D + (star_rating - 3) * 0.04D"),
-            "event_sensitivity": F.expr("0.5D + star_rating * 0.1D"),
-        }
+    on = C.city_event_on(F.col("city"), F.col("stay_date"))
+    return hotel_nights(spark, folder).select(
+        "hotel_id",
+        "stay_date",
+        F.coalesce(on["event_score"], F.lit(0.0)).alias("event_score"),
+        F.concat_ws("; ", on["event_names"]).alias("event_names"),
     )
-    out = baseline.demand_index(profile, W.FIRST_DAY, W.LAST_DAY)
-    return settled(out.select("hotel_id", "stay_date", "demand_index"), demand_index=9)
 
 
 @QUERIES.add("j9_calendar_join")
 def j9(spark, folder):
     """Holidays and city events attached to every hotel night."""
-    table = C.city_event_days(spark, W.FIRST_DAY, W.LAST_DAY).withColumnRenamed("day", "stay_date")
-    frame = C.with_calendar(hotel_nights(spark, folder), spark, *P.CALENDAR_SPAN)
-    return frame.join(F.broadcast(table), ["city", "stay_date"], "left").select(
+    on = C.city_event_on(F.col("city"), F.col("stay_date"))
+    return C.with_calendar(hotel_nights(spark, folder)).select(
         "hotel_id",
         "stay_date",
         "holiday_name",
         "holiday_proximity",
-        F.coalesce("event_score", F.lit(0.0)).alias("event_score"),
+        F.coalesce(on["event_score"], F.lit(0.0)).alias("event_score"),
     )

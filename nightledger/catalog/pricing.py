@@ -16,7 +16,6 @@ from nightledger.operators import forecast as S
 from nightledger.operators import market as M
 from nightledger.operators import pricing as R
 from nightledger.plans import pricing as P
-from nightledger.plans.features import CALENDAR_SPAN
 from nightledger.sources import warehouse as W
 from nightledger.sources.files import write_and_read
 
@@ -35,7 +34,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
         .distinct()
         .join(W.rooms(spark, folder), ["hotel_id", "room_type"])
     )
-    dated = with_calendar(cells, spark, *CALENDAR_SPAN).withColumn("k", F.expr(_K))
+    dated = with_calendar(cells).withColumn("k", F.expr(_K))
     rate = "base_price * (60 + k % 90) / 100"
     return dated.select(
         *GRAIN,

@@ -1,13 +1,13 @@
 """Seasons, weekends, holidays and city events.
 
-Holidays and events are literal tables of a fixed size (about forty holidays, nineteen
-events), so the calendar built from them can always be broadcast: it has one row per day
-of the span asked for, whatever the size of the facts it is joined to.
+Holidays and events are literals of a fixed size (about forty holidays, nineteen events)
+inside the expressions that look a row's day up, so no join is needed and no span of years is
+left out: fixed holidays and city events recur by month and day, movable ones are dated.
 """
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,13 +113,6 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     return spark.createDataFrame(pa.table(columns))
 
 
-def day_span(spark: SparkSession, first: date, last: date) -> DataFrame:
-    """One row per day of a closed span."""
-    return spark.sql(
-        f"SELECT explode(sequence(DATE'{first}', DATE'{last}', INTERVAL 1 DAY)) AS day"
-    )
-
-
 def _listed(first: date, last: date) -> list[tuple]:
     fixed = [
         (date(year, month, day), name, sig, bias, 1)
@@ -145,32 +138,36 @@ def holidays(spark: SparkSession, first: date, last: date) -> DataFrame:
     )
 
 
-def near_holidays(spark: SparkSession, first: date, last: date, window: int = 2) -> DataFrame:
-    """Days on or near a holiday: its name (on the day itself) and the pressure felt.
+def holiday_on(day: Column) -> Column:
+    """The holiday of any day, or null: the more significant one, the fixed one on a tie.
 
-    Each holiday is spread to the days around it with linear decay and the strongest
-    wins.  That turns the range lookup into one aggregate over a literal table of a few
-    hundred rows, with a size that depends on the span of years only.
+    A struct of significance, fixed, holiday_name and leisure_bias, in that order of rank.
     """
-    names = ["day", "holiday_name", "significance", "leisure_bias", "fixed"]
-    listed = _listed(first - timedelta(days=window), last + timedelta(days=window))
-    spread = literal_table(spark, listed, names).selectExpr(
-        "*", f"explode(sequence(-{window}, {window})) AS offset"
+
+    def entry(name: str, significance: float, bias: float, fixed: int) -> Column:
+        parts = (("significance", significance), ("fixed", fixed), ("holiday_name", name), ("leisure_bias", bias))
+        return F.struct(*[F.lit(value).alias(label) for label, value in parts])
+
+    yearly = F.create_map(
+        *[x for month, dom, name, sig, bias in FIXED_HOLIDAYS for x in (F.lit(month * 100 + dom), entry(name, sig, bias, 1))]
     )
-    rank = F.expr("CASE WHEN offset = 0 THEN struct(significance, fixed) END")
-    return (
-        spread.groupBy(F.expr("date_add(day, offset)").alias("day"))
-        .agg(
-            F.max_by("holiday_name", rank).alias("holiday_name"),
-            F.max_by("leisure_bias", rank).alias("leisure_bias"),
-            F.round(
-                F.max(F.expr(f"significance * (1D - abs(offset) / {float(window + 1)}D)")), 4
-            ).alias("holiday_proximity"),
-        )
-        .coalesce(1)
+    dated = F.create_map(
+        *[x for d, name, sig, bias in MOVABLE_HOLIDAYS for x in (F.lit(date.fromisoformat(d)), entry(name, sig, bias, 0))]
+    )
+    return F.greatest(
+        F.try_element_at(yearly, F.month(day) * 100 + F.dayofmonth(day)), F.try_element_at(dated, day)
     )
 
 
+def holiday_proximity(day: Column, window: int = 2) -> Column:
+    """The strongest pressure of a holiday within ``window`` days, with linear decay."""
+    felt = [
+        holiday_on(F.date_add(day, offset))["significance"] * (1.0 - abs(offset) / float(window + 1))
+        for offset in range(-window, window + 1)
+    ]
+    return F.round(F.coalesce(F.greatest(*felt), F.lit(0.0)), 4)
+
+
 def city_events(spark: SparkSession) -> DataFrame:
     return literal_table(
         spark,
@@ -188,34 +185,42 @@ def event_is_active(day: str) -> Column:
     )
 
 
-def city_event_days(spark: SparkSession, first: date, last: date) -> DataFrame:
-    """Per (city, day) with at least one event: combined score and names, strongest first.
+def city_event_on(city: Column, day: Column) -> Column:
+    """What is on in a city on any day, or null: a struct of event_score and event_names.
 
-    Overlapping events combine as ``1 - product(1 - intensity)``.
+    Overlapping events combine as ``1 - product(1 - intensity)``; names come strongest first.
     """
-    days = day_span(spark, first, last)
-    active = days.join(F.broadcast(city_events(spark)), event_is_active("day"))
-    return active.groupBy("city", "day").agg(
-        F.round(1.0 - F.product(1.0 - F.col("intensity")), 4).alias("event_score"),
-        F.expr(
-            "transform(array_sort(collect_list(struct(-intensity AS k, event_name))),"
-            " e -> e.event_name)"
-        ).alias("event_names"),
+    names = ("event_name", "city", "opens", "closes", "intensity", "biennial")
+    listed = F.array(
+        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, event)]) for event in CITY_EVENTS]
     )
+    md = F.month(day) * 100 + F.dayofmonth(day)
 
+    def active(e: Column) -> Column:
+        inside = F.when(e["opens"] <= e["closes"], md.between(e["opens"], e["closes"])).otherwise(
+            (md >= e["opens"]) | (md <= e["closes"])
+        )
+        return (e["city"] == city) & (~e["biennial"] | (F.year(day) % 2 == 0)) & inside
+
+    found = F.filter(listed, active)
+    quiet = F.aggregate(found, F.lit(1.0), lambda acc, e: acc * (1.0 - e["intensity"]))
+    ranked = F.array_sort(F.transform(found, lambda e: F.struct((-e["intensity"]).alias("k"), e["event_name"].alias("event_name"))))
+    return F.when(
+        F.size(found) > 0,
+        F.struct(
+            F.round(1.0 - quiet, 4).alias("event_score"),
+            F.transform(ranked, lambda e: e["event_name"]).alias("event_names"),
+        ),
+    )
 
-def with_calendar(
-    frame: DataFrame, spark: SparkSession, first: date, last: date, day: str = "stay_date"
-) -> DataFrame:
-    """Attach holiday columns for ``day``.
 
-    The calendar side is a literal of at most one row per day of the span, hence the
-    broadcast.  Days outside the span get no holiday.
-    """
-    table = near_holidays(spark, first, last).withColumnRenamed("day", "_calendar_day")
-    joined = frame.join(
-        F.broadcast(table), F.col(day) == F.col("_calendar_day"), "left"
-    ).drop("_calendar_day")
-    return joined.withColumn(
-        "holiday_proximity", F.coalesce("holiday_proximity", F.lit(0.0))
+def with_calendar(frame: DataFrame, day: str = "stay_date") -> DataFrame:
+    """Attach holiday columns for ``day``; an ordinary day has no name and proximity 0."""
+    on = holiday_on(F.col(day))
+    return frame.withColumns(
+        {
+            "holiday_name": on["holiday_name"],
+            "leisure_bias": on["leisure_bias"],
+            "holiday_proximity": holiday_proximity(F.col(day)),
+        }
     )

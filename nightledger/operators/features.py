@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.config import FEATURE_CONFIG, FEATURES, GRAIN, SEASONS, FeatureConfig
-from nightledger.functions.calendar import season_of
+from nightledger.functions.calendar import city_event_on, season_of
 from nightledger.functions.numeric import finite
 
 SIGNALS = ("search_demand", "weather_score", "local_event_score")
@@ -61,26 +61,11 @@ def calendar_columns(frame: DataFrame) -> DataFrame:
     ).withColumns(season_flags())
 
 
-def city_event_override(frame: DataFrame, city_days: DataFrame) -> DataFrame:
-    """Where a row knows its city, the city calendar replaces the signal's event score.
-
-    ``city_days`` holds at most one row per known city and day of the calendar span, so
-    it is always small enough to broadcast.
-    """
-    days = city_days.select(
-        F.col("city").alias("_city"),
-        F.col("day").alias("_day"),
-        F.col("event_score").alias("_score"),
-    )
-    joined = frame.join(
-        F.broadcast(days),
-        (F.col("city") == F.col("_city")) & (F.col("stay_date") == F.col("_day")),
-        "left",
-    )
-    score = F.when(F.col("city").isNotNull(), F.coalesce("_score", F.lit(0.0))).otherwise(
-        F.col("local_event_score")
-    )
-    return joined.withColumn("local_event_score", score).drop("_city", "_day", "_score")
+def city_event_override(frame: DataFrame) -> DataFrame:
+    """Where a row knows its city, the city calendar replaces the signal's event score."""
+    on = city_event_on(F.col("city"), F.col("stay_date"))["event_score"]
+    score = F.when(F.col("city").isNotNull(), F.coalesce(on, F.lit(0.0)))
+    return frame.withColumn("local_event_score", score.otherwise(F.col("local_event_score")))
 
 
 def derived_columns(frame: DataFrame) -> DataFrame:

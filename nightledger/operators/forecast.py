@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightledger.config import FORECAST_CONFIG, ROOM_KEY, ForecastConfig
-from nightledger.functions.calendar import near_holidays
+from nightledger.functions.calendar import holiday_on
 
 SERIES = list(ROOM_KEY)
 _ORIGIN = "DATE'2020-01-01'"
@@ -68,21 +68,17 @@ def fit(
     until there are two years to learn them from: with less, each is a single
     observation.  The band is the pair of residual quantiles around the fit.
     """
-    spark = filled.sparkSession
     whole = Window.partitionBy(*keys)
     weekday = Window.partitionBy(*keys, "weekday")
     month = Window.partitionBy(*keys, "month")
     holiday = Window.partitionBy(*keys, "holiday_name")
-    near = near_holidays(spark, date(2020, 1, 1), date(2030, 12, 31)).select(
-        F.col("day").alias("ds"), "holiday_name"
-    )
 
     def factor(parts: str, window) -> F.Column:
         top, bottom = F.sum("y").over(window), F.sum(F.expr(parts)).over(window)
         return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0))
 
     frame = (
-        filled.join(F.broadcast(near), "ds", "left")
+        filled.withColumn("holiday_name", holiday_on(F.col("ds"))["holiday_name"])
         .withColumns(
             {
                 "t": F.expr(f"cast(datediff(ds, {_ORIGIN}) AS DOUBLE)"),
@@ -145,14 +141,10 @@ def fit(
 
 def predict(dated: DataFrame) -> DataFrame:
     """Evaluate coefficients joined with a ``ds`` column: forecast, band and trend."""
-    spark = dated.sparkSession
-    near = near_holidays(spark, date(2020, 1, 1), date(2030, 12, 31)).select(
-        F.col("day").alias("ds"), F.col("holiday_name").alias("_festival")
-    )
     weekday = ", ".join(f"weekday_{d}" for d in range(7))
     month = ", ".join(f"month_{m}" for m in range(1, 13))
     return (
-        dated.join(F.broadcast(near), "ds", "left")
+        dated.withColumn("_festival", holiday_on(F.col("ds"))["holiday_name"])
         .withColumn("trend", F.expr(f"intercept + slope * datediff(ds, {_ORIGIN})"))
         .withColumn(
             "_centre",

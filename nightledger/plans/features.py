@@ -18,14 +18,13 @@ from nightledger.config import (
     TARGET,
     FeatureConfig,
 )
-from nightledger.functions.calendar import city_event_days, with_calendar
+from nightledger.functions.calendar import with_calendar
 from nightledger.functions.numeric import clip
 from nightledger.operators import bookings as B
 from nightledger.operators import features as X
 from nightledger.operators import history as H
 from nightledger.operators import market as M
 
-CALENDAR_SPAN = (date(2024, 1, 1), date(2027, 12, 31))
 
 
 def feature_matrix(
@@ -78,10 +77,10 @@ def feature_matrix(
 
     frame = B.book_columns(frame).withColumnRenamed("realised", TARGET)
     frame = X.fill_signals(M.impute_market(frame), config)
-    frame = X.calendar_columns(with_calendar(frame, spark, *CALENDAR_SPAN))
+    frame = X.calendar_columns(with_calendar(frame))
     if hotels is not None:
         frame = frame.join(hotels.select("hotel_id", "city"), "hotel_id", "left")
-        frame = X.city_event_override(frame, city_event_days(spark, *CALENDAR_SPAN))
+        frame = X.city_event_override(frame)
     frame = X.derived_columns(frame)
     return frame.select(
         *GRAIN,
@@ -124,13 +123,12 @@ def serving_rows(
     base = given("base_price")
     rate = given("competitor_rate")
     rows = requests.withColumns({"_occupancy": occupancy, "_horizon": horizon})
-    rows = with_calendar(rows, spark, *CALENDAR_SPAN)
+    rows = with_calendar(rows)
     rows = X.calendar_columns(rows)
     event = given("local_event_score")
     if "city" in requests.columns:
         lookup = X.city_event_override(
-            rows.withColumn("_given_event", event).withColumn("local_event_score", F.lit(0.0)),
-            city_event_days(spark, *CALENDAR_SPAN),
+            rows.withColumn("_given_event", event).withColumn("local_event_score", F.lit(0.0))
         )
         rows = lookup.withColumn(
             "local_event_score", F.coalesce("_given_event", "local_event_score")
@@ -181,7 +179,7 @@ def stored_columns(matrix: DataFrame) -> DataFrame:
 def rebuild_matrix(stored: DataFrame) -> DataFrame:
     """Model input from stored base columns; everything else is a function of them."""
     spark = stored.sparkSession
-    frame = with_calendar(stored.drop("holiday_name"), spark, *CALENDAR_SPAN)
+    frame = with_calendar(stored.drop("holiday_name"))
     frame = frame.withColumns(
         {
             "is_weekend": F.col("is_weekend").cast("double"),

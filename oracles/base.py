@@ -171,7 +171,7 @@ FROM (
 
 # --- the calendar ----------------------------------------------------------------------
 
-_years = range(2024, 2028)
+_years = range(2019, 2032)
 _fixed = ", ".join(
     f"(DATE '{date(y, m, d)}', {quote(n)}, {s}::DOUBLE, {b}::DOUBLE, 1)"
     for y in _years
@@ -189,7 +189,7 @@ cte(
 )
 cte(
     "days",
-    "SELECT unnest(generate_series(DATE '2024-01-01', DATE '2027-12-31', INTERVAL 1 DAY))::DATE"
+    "SELECT unnest(generate_series(DATE '2020-01-01', DATE '2030-12-31', INTERVAL 1 DAY))::DATE"
     " AS day",
 )
 cte(

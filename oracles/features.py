@@ -1,7 +1,6 @@
 """Statements of the feature family."""
 
 from nightledger.config import FEATURES
-from nightledger.operators.baseline import CITY_SEASON, SEGMENT_LEISURE, SEGMENT_WEEKDAY
 from oracles.base import clip, compose, cte, derived, horizon, season
 
 SQL: dict[str, str] = {}
@@ -352,32 +351,6 @@ FROM hotel_nights n LEFT JOIN city_days e ON e.city = n.city AND e.day = n.stay_
     "hotel_nights",
     "city_days",
 )
-_SEASON_LEVEL = " ".join(
-    f"WHEN n.city = '{c}' AND {season('stay_date')} = '{s}' THEN {v}::DOUBLE"
-    for c, levels in CITY_SEASON.items()
-    for s, v in zip(("winter", "summer", "monsoon", "autumn"), levels)
-)
-_WEEKDAY_LEVEL = " ".join(
-    f"WHEN segment = '{s}' THEN ([{', '.join(f'{v}::DOUBLE' for v in levels)}])[isodow(stay_date)]"
-    for s, levels in SEGMENT_WEEKDAY.items()
-)
-_LEISURE = " ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in SEGMENT_LEISURE.items())
-SQL["k7_demand_index"] = compose(
-    f"""
-SELECT hotel_id, stay_date, round({clip(f'''
-    (0.6::DOUBLE + (star_rating - 3) * 0.04::DOUBLE) * (CASE {_SEASON_LEVEL} END)
-    * (CASE {_WEEKDAY_LEVEL} END)
-    * (1.0::DOUBLE + holiday_proximity * (0.55::DOUBLE * (1.0::DOUBLE
-        - abs(coalesce(leisure_bias, 0.5::DOUBLE) - CASE segment {_LEISURE} END)) - 0.28::DOUBLE))
-    * (1.0::DOUBLE + coalesce(event_score, 0) * (0.5::DOUBLE + star_rating * 0.1::DOUBLE) * 0.45::DOUBLE)
-''', 0.05, 0.99)}, 9) AS demand_index
-FROM hotel_nights n JOIN calendar k ON k.day = stay_date
-LEFT JOIN city_days e ON e.city = n.city AND e.day = n.stay_date
-""",
-    "hotel_nights",
-    "calendar",
-    "city_days",
-)
 SQL["j9_calendar_join"] = compose(
     """
 SELECT hotel_id, stay_date, holiday_name, holiday_proximity,

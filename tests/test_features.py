@@ -157,3 +157,30 @@ def test_ties_in_the_market(spark):
     typed = M.normalise_rates(rows)
     assert one(M.market_as_of(typed, STAY)).competitor_count == 3
     assert one(M.competitor_set(M.freshest_per_source(typed))).competitor_rate == 95.0
+
+
+def test_calendar_knows_every_year(spark):
+    """Fixed holidays and city events recur; no span of years is left out."""
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from nightledger.functions import calendar as C
+
+    days = [
+        (date(2028, 12, 25), "Goa"), (date(2023, 1, 26), "New Delhi"), (date(1999, 12, 30), "Goa"),
+        (date(2028, 1, 14), "New Delhi"), (date(2031, 1, 14), "New Delhi"), (date(2026, 10, 20), "Mumbai"),
+    ]
+    frame = spark.createDataFrame(days, "stay_date date, city string")
+    on = C.city_event_on(F.col("city"), F.col("stay_date"))
+    got = {
+        r.stay_date: r
+        for r in C.with_calendar(frame).withColumn("score", on["event_score"]).withColumn("names", on["event_names"]).collect()
+    }
+    assert got[date(2028, 12, 25)].holiday_name == "Christmas"
+    assert got[date(2023, 1, 26)].holiday_name == "Republic Day" and got[date(2023, 1, 26)].score == 0.6
+    assert got[date(1999, 12, 30)].holiday_name is None
+    assert abs(got[date(1999, 12, 30)].holiday_proximity - 0.6667) < 1e-9
+    assert got[date(1999, 12, 30)].names == ["New Year Week", "Sunburn Festival"]
+    assert got[date(2028, 1, 14)].score == 0.7 and got[date(2031, 1, 14)].score is None
+    assert got[date(2026, 10, 20)].holiday_name == "Dussehra" and got[date(2026, 10, 20)].score is None
