@@ -39,24 +39,17 @@ def check(name: str):
 
 @check("d1_reference_data")
 def d1(spark, folder):
-    return O.reference_data(
-        W.hotels(spark, folder), W.rooms(spark, folder).where("hotel_id <> 'H0000'")
-    )
+    return O.reference_data(W.hotels(spark, folder), W.rooms(spark, folder))
 
 
 @check("d2_booking_recency")
 def d2(spark, folder):
-    return O.booking_recency(
-        W.bookings(spark, folder).where("check_in_date < DATE'2025-11-20'"), W.AS_OF
-    )
+    return O.booking_recency(W.bookings(spark, folder), W.AS_OF)
 
 
 @check("d3_competitor_freshness")
 def d3(spark, folder):
-    return O.competitor_freshness(
-        W.competitor_prices(spark, folder).where("collected_at < TIMESTAMP'2025-11-28 00:00:00'"),
-        W.AS_OF,
-    )
+    return O.competitor_freshness(W.competitor_prices(spark, folder), W.AS_OF)
 
 
 @check("d4_competitor_coverage")
@@ -150,22 +143,22 @@ def d14(spark, folder):
 
 @QUERIES.add("d15_prediction_stats")
 def d15(spark, folder):
-    return settled(O.prediction_stats(audit(spark, folder)), outlier_share=6)
+    return settled(O.prediction_stats(audit(spark, folder), W.AS_OF), outlier_share=6)
 
 
 @check("d15_prediction_health")
 def d15b(spark, folder):
-    return O.prediction_checks(O.prediction_stats(audit(spark, folder)))
+    return O.prediction_checks(O.prediction_stats(audit(spark, folder), W.AS_OF))
 
 
 @QUERIES.add("d16_price_stats")
 def d16(spark, folder):
-    return O.price_stats(audit(spark, folder))
+    return O.price_stats(audit(spark, folder), W.AS_OF)
 
 
 @check("d16_price_health")
 def d16b(spark, folder):
-    return O.price_checks(O.price_stats(audit(spark, folder)))
+    return O.price_checks(O.price_stats(audit(spark, folder), W.AS_OF))
 
 
 @QUERIES.add("d17_realised_accuracy")
@@ -203,5 +196,5 @@ def d18(spark, folder):
 
 @QUERIES.add("j6_hotels_without_rooms")
 def j6(spark, folder):
-    rooms = W.rooms(spark, folder).where("hotel_id < 'H0005'").select("hotel_id")
+    rooms = W.rooms(spark, folder).select("hotel_id")
     return W.hotels(spark, folder).join(rooms, "hotel_id", "left_anti").select("hotel_id", "city")

@@ -213,7 +213,7 @@ class MonitorConfig:
     min_sample: int = 50
     drift_window_days: int = 30
     seasonal_history_days: int = 730
-    recent_rows: int = 5000
+    health_hours: int = 24
     min_spread: float = 0.02
     sigma: float = 3.0
     outlier_share: float = 0.05

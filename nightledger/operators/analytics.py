@@ -189,8 +189,12 @@ def median(frame: DataFrame, column: str) -> DataFrame:
 
 
 def feed_status(rates: DataFrame, as_of: str) -> DataFrame:
-    """Rows in total and within the last hour, the newest observation, rows per source."""
-    per_source = rates.groupBy("source").agg(
+    """Rows in total and within the last hour, the newest observation, rows per source.
+
+    What is stamped later than ``as_of`` had not been seen then and is left out.
+    """
+    seen = rates.where(F.col("collected_at") <= F.expr(f"TIMESTAMP'{as_of}'"))
+    per_source = seen.groupBy("source").agg(
         F.count("*").alias("rows"),
         F.count_if(
             F.col("collected_at") >= F.expr(f"TIMESTAMP'{as_of}' - INTERVAL 1 HOUR")
@@ -326,9 +330,10 @@ def guardrail_counts(decisions: DataFrame) -> DataFrame:
 
 def hotel_list(
     hotels: DataFrame, city: str | None = None, stars: int | None = None,
-    active: bool | None = None, limit: int = 500,
+    active: bool | None = None, after: str | None = None, *, limit: int,
 ) -> DataFrame:
-    frame = hotels
+    """A page of ``limit`` hotels by id; ``after`` is the last id of the page before."""
+    frame = hotels if after is None else hotels.where(F.col("hotel_id") > after)
     if city is not None:
         frame = frame.where(F.lower("city") == city.lower())
     if stars is not None:
@@ -362,33 +367,31 @@ def training_rows(
 
 
 def rate_listing(
-    rates: DataFrame, hotel_id: str, start: date, days: int = 30, limit: int = 200,
-    room_type: str | None = None,
+    rates: DataFrame, hotel_id: str, start: date, days: int = 30,
+    room_type: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Observations of one hotel in a window, newest first within a night."""
+    """Observations of one hotel in a window, newest first within a night; all of them, or a page."""
     frame = rates.where(
         (F.col("hotel_id") == hotel_id)
         & F.col("check_in_date").between(F.lit(start), F.date_add(F.lit(start), days))
     )
     if room_type is not None:
         frame = frame.where(F.col("room_type") == room_type)
-    return frame.orderBy("check_in_date", F.desc("collected_at"), "event_id").limit(limit)
+    ordered = frame.orderBy("check_in_date", F.desc("collected_at"), "event_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def pricing_history(
-    audit: DataFrame, predictions: DataFrame, hotel_id: str, limit: int = 50,
-    room_type: str | None = None,
+    audit: DataFrame, predictions: DataFrame, hotel_id: str,
+    room_type: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Decisions of one hotel with the demand behind them, newest first."""
+    """Decisions of one hotel with the demand behind them, newest first; all, or a page."""
     frame = audit.where(F.col("hotel_id") == hotel_id)
     if room_type is not None:
         frame = frame.where(F.col("room_type") == room_type)
     wanted = predictions.select("prediction_id", "blended_demand", "confidence", "model_version")
-    return (
-        frame.join(wanted, "prediction_id")
-        .orderBy(F.desc("created_at"), "prediction_id")
-        .limit(limit)
-    )
+    ordered = frame.join(wanted, "prediction_id").orderBy(F.desc("created_at"), "prediction_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def collection_plan(

@@ -1,6 +1,6 @@
 """Competitor rates: freshest observation per source and market summaries.
 
-"Freshest" is expressed as ``min_by(price, age)`` with a numeric age, so Spark keeps a
+"Freshest" is expressed as ``max_by(price, freshness)`` with a numeric order, so Spark keeps a
 hash aggregate with map-side combine.  A window or a sort per key would pull a popular
 night into one task first.
 """
@@ -16,9 +16,6 @@ from nightledger.config import FEATURE_CONFIG, GRAIN, FeatureConfig
 from nightledger.functions.horizon import with_horizon
 from nightledger.functions.numeric import dbl, ratio
 
-_CENTS = 200_000_000  # above the largest legal price (1e6) in cents
-
-
 def normalise_rates(raw: DataFrame) -> DataFrame:
     """Typed observations with the lead at which each was seen; unpriced rows dropped."""
     return raw.selectExpr(
@@ -32,21 +29,21 @@ def normalise_rates(raw: DataFrame) -> DataFrame:
     ).where("price IS NOT NULL")
 
 
-def staleness() -> Column:
-    """Smaller is fresher; equal times prefer the lower price.
+def freshness() -> Column:
+    """Larger is fresher; of equal times the lower price is.
 
-    Seconds from the observation to the end of the stay night, with the price in cents
-    as the low-order part: one BIGINT that orders observations totally.
+    Microseconds of the observation with the price (to 1e-8) as the low-order part: one
+    DECIMAL that orders observations totally and stays mutable in a hash aggregate.
     """
     return F.expr(
-        "(unix_timestamp(cast(date_add(stay_date, 1) AS TIMESTAMP)) - unix_timestamp(collected_at))"
-        f" * {_CENTS} + least(cast(round(price * 100) AS BIGINT), {_CENTS - 1})"
+        "cast(unix_micros(collected_at) AS DECIMAL(17,0)) * cast(100000000000000000000 AS DECIMAL(21,0))"
+        " - coalesce(try_cast(least(price, 1e11D) * 1e8D AS DECIMAL(20,0)), 0BD)"
     )
 
 
 def freshest_per_source(rates: DataFrame) -> DataFrame:
     """One price per (hotel, room, night, competitor)."""
-    return rates.groupBy(*GRAIN, "competitor").agg(F.min_by("price", staleness()).alias("price"))
+    return rates.groupBy(*GRAIN, "competitor").agg(F.max_by("price", freshness()).alias("price"))
 
 
 def visible_rates(rates: DataFrame, config: FeatureConfig = FEATURE_CONFIG) -> DataFrame:
@@ -91,10 +88,12 @@ def market_as_of(rates: DataFrame, as_of: date, lookback_days: int = 30) -> Data
     """Competitive set per night from the newest observations of each source.
 
     Observations that share the newest timestamp of a source all count.  Prices are
-    combined per timestamp first, so ties survive without a rank or a self-join.
+    combined per timestamp first, so ties survive without a rank or a self-join.  Nothing
+    collected after ``as_of`` is looked at.
     """
     recent = rates.where(
         (F.col("collected_at") >= F.date_sub(F.lit(as_of), lookback_days).cast("timestamp"))
+        & (F.col("collected_at") <= F.lit(as_of).cast("timestamp"))
         & (F.col("price") != 0)
     )
     moments = recent.groupBy(*GRAIN, "competitor", "collected_at").agg(

@@ -23,6 +23,7 @@ from nightledger.config import (
 )
 from nightledger.operators.metrics import evaluate
 from nightledger.operators.quantiles import exact_quantiles
+from nightledger.sources.files import write_and_read
 
 RANK = "CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END"
 
@@ -330,9 +331,24 @@ def recent(frame: DataFrame, n: int, tie: str = "prediction_id") -> DataFrame:
     return frame.orderBy(F.desc("created_at"), tie).limit(n)
 
 
-def prediction_stats(predictions: DataFrame, config: MonitorConfig = MONITOR_CONFIG) -> DataFrame:
-    """Distribution of the newest predictions and the share of outliers in it."""
-    rows = recent(predictions, config.recent_rows)
+def in_window(frame: DataFrame, as_of: date, hours: int) -> DataFrame:
+    """All rows created within ``hours`` before ``as_of``, however many there are."""
+    end = F.lit(as_of).cast("timestamp")
+    return frame.where(
+        F.col("created_at").between(end - F.expr(f"INTERVAL {hours} HOURS"), end)
+    )
+
+
+def prediction_stats(
+    predictions: DataFrame, as_of: date, config: MonitorConfig = MONITOR_CONFIG
+) -> DataFrame:
+    """Distribution of the predictions of the health window and the share of outliers in it."""
+    rows = write_and_read(
+        in_window(predictions, as_of, config.health_hours).select(
+            "blended_demand", "confidence", "latency_ms"
+        ),
+        "health",
+    )
     stats = rows.agg(
         F.count("*").alias("n"),
         F.count("blended_demand").alias("known"),
@@ -341,11 +357,18 @@ def prediction_stats(predictions: DataFrame, config: MonitorConfig = MONITOR_CON
         F.round(F.min("blended_demand"), 4).alias("demand_min"),
         F.round(F.max("blended_demand"), 4).alias("demand_max"),
         F.round(F.avg("confidence"), 4).alias("confidence_mean"),
-        F.round(F.expr("percentile(latency_ms, 0.95D)"), 2).alias("latency_p95_ms"),
         F.avg("blended_demand").alias("_mean"),
         F.stddev_samp("blended_demand").alias("_std"),
     )
-    # Two passes over at most ``recent_rows`` rows; the statistics are one row.
+    counted = (
+        rows.where(F.col("latency_ms").isNotNull())
+        .groupBy(F.lit(0).alias("_all"), F.col("latency_ms").alias("value"))
+        .agg(F.count("*").alias("n"))
+    )
+    slow = exact_quantiles(counted, ["_all"], [0.95]).agg(
+        F.round(F.max(F.col("q")[0]), 2).alias("latency_p95_ms")
+    )
+    # The written window is read again; the statistics are one row.
     outliers = (
         rows.join(F.broadcast(stats.select("_mean", "_std")))
         .agg(
@@ -353,11 +376,11 @@ def prediction_stats(predictions: DataFrame, config: MonitorConfig = MONITOR_CON
                 F.abs(F.col("blended_demand") - F.col("_mean"))
                 > config.sigma * F.greatest(F.col("_std"), F.lit(1e-9))
             ).alias("_far"),
-            F.count("blended_demand").alias("_all"),
+            F.count("blended_demand").alias("_known"),
         )
-        .selectExpr("_far / nullif(_all, 0) AS outlier_share")
+        .selectExpr("_far / nullif(_known, 0) AS outlier_share")
     )
-    return stats.drop("_mean", "_std").join(F.broadcast(outliers))
+    return stats.drop("_mean", "_std").join(F.broadcast(slow)).join(F.broadcast(outliers))
 
 
 def prediction_checks(stats: DataFrame, config: MonitorConfig = MONITOR_CONFIG) -> DataFrame:
@@ -395,12 +418,12 @@ def prediction_checks(stats: DataFrame, config: MonitorConfig = MONITOR_CONFIG)
 
 
 def price_stats(
-    audit: DataFrame, config: MonitorConfig = MONITOR_CONFIG, pricing: PricingConfig = PRICING_CONFIG
+    audit: DataFrame, as_of: date, config: MonitorConfig = MONITOR_CONFIG, pricing: PricingConfig = PRICING_CONFIG
 ) -> DataFrame:
-    """Distribution of the newest prices and how hard the guardrails press on them."""
+    """Distribution of the prices of the health window and how hard the guardrails press on them."""
     final = F.col("final_recommended_price")
     pinned = (final <= pricing.min_price) | (final >= pricing.max_price)
-    return recent(audit, config.recent_rows).agg(
+    return in_window(audit, as_of, config.health_hours).agg(
         F.count("*").alias("n"),
         F.round(F.avg(final), 2).alias("price_mean"),
         F.round(F.min(final), 2).alias("price_min"),
@@ -460,8 +483,8 @@ def model_report(
     ).withColumn("check_name", F.col("detail")).withColumn("detail", F.lit(None).cast("string"))
     return union_checks(
         [
-            prediction_checks(prediction_stats(predictions)),
-            price_checks(price_stats(audit)),
+            prediction_checks(prediction_stats(predictions, as_of)),
+            price_checks(price_stats(audit, as_of)),
             seasonality_caveat(stored),
             drift,
         ]

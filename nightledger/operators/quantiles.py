@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
-The built-in exact percentile keeps all distinct values of a group in one task.  Here a
-coarse histogram locates the few buckets that hold the wanted ranks, and only the values
-in those buckets are ordered.
+The built-in exact percentile keeps all distinct values of a group in one task.  Here the
+distinct values are dealt into ranges of (key, value) whose edges Spark samples from the data,
+so a sliver that holds almost all values of a key is split like any other.  Counts per range
+locate the few that hold the wanted ranks, and only the values in those are ordered.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from nightledger.sources.files import write_and_read
 
 
 def exact_quantiles(
@@ -24,24 +25,17 @@ def exact_quantiles(
     rows = counted.where(F.col(weight) > 0).select(
         *keys, "value", F.col(weight).cast("bigint").alias("_n")
     )
-    ends = rows.groupBy(*keys).agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    # Equal-width buckets are monotone in the value, which is all the ranks need.
-    placed = rows.join(ends, keys).withColumn(
-        "_bucket",
-        F.expr(
-            f"CASE WHEN _hi > _lo THEN cast(floor((value - _lo) / (_hi - _lo) * {BUCKETS}D) AS INT)"
-            " ELSE 0 END"
-        ),
-    )
+    ranged = rows.repartitionByRange(*keys, "value").withColumn("_bucket", F.spark_partition_id())
+    # Written, since a range's number has to stay the same in all that follows.
+    placed = write_and_read(ranged, "quantiles")
     in_order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     sizes = (
         placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
+        .agg(F.sum("_n").alias("_size"))
         .withColumn("_end", F.sum("_size").over(in_order))
+        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
         .withColumn("_start", F.expr("_end - _size"))
     )
     listed = ", ".join(f"struct({i} AS i, {p}D AS p)" for i, p in enumerate(probabilities))

@@ -66,10 +66,10 @@ _DUPES = check(
     "(SELECT count(*) AS k FROM (SELECT 1 FROM {t} GROUP BY hotel_id, room_type, {d} HAVING count(*) > 1))",
 )
 SQL["d1_reference_data"] = compose(
-    _REFERENCE.replace("{w}", " WHERE hotel_id <> 'H0000'"), "hotels", "rooms"
+    _REFERENCE.replace("{w}", ""), "hotels", "rooms"
 )
 SQL["d2_booking_recency"] = compose(
-    _RECENCY.replace("{w}", " WHERE check_in_date < DATE '2025-11-20'"), "bookings"
+    _RECENCY.replace("{w}", ""), "bookings"
 )
 
 
@@ -81,7 +81,7 @@ def fresh(name: str, limit: int, column: str, table: str) -> str:
 
 SQL["d3_competitor_freshness"] = compose(
     fresh("competitor_freshness", 48, "collected_at",
-          "rates WHERE collected_at < TIMESTAMP '2025-11-28'"), "rates",
+          "rates"), "rates",
 )
 SQL["d4_competitor_coverage"] = compose(_COVERAGE, "rates")
 SQL["d5_feature_freshness"] = compose(
@@ -200,7 +200,7 @@ _CAVEAT = check(
 SQL["d14_seasonality_caveat"] = compose(_CAVEAT, "watched")
 cte(
     "newest",
-    "SELECT * FROM audit ORDER BY created_at DESC, prediction_id LIMIT 5000",
+    "SELECT * FROM audit WHERE created_at BETWEEN TIMESTAMP '2025-11-30' AND TIMESTAMP '2025-12-01'",
     "audit",
 )
 cte(
@@ -281,7 +281,7 @@ SQL["d18_model_report"] = compose(
     "drift_long",
 )
 SQL["j6_hotels_without_rooms"] = compose(
-    "SELECT hotel_id, city FROM hotels WHERE hotel_id NOT IN (SELECT hotel_id FROM rooms WHERE hotel_id < 'H0005')",
+    "SELECT hotel_id, city FROM hotels WHERE hotel_id NOT IN (SELECT hotel_id FROM rooms)",
     "hotels",
     "rooms",
 )

@@ -275,7 +275,7 @@ SELECT {GRAIN}, avg(price) AS competitor_rate, min(price) AS competitor_min_rate
 FROM (SELECT hotel_id, room_type, check_in_date AS stay_date, price,
              rank() OVER (PARTITION BY hotel_id, room_type, check_in_date, competitor
                           ORDER BY collected_at DESC) AS r
-      FROM rates WHERE collected_at >= TIMESTAMP '2025-11-01')
+      FROM rates WHERE collected_at BETWEEN TIMESTAMP '2025-11-01' AND TIMESTAMP '2025-12-01')
 WHERE r = 1 GROUP BY {GRAIN}
 """,
     "rates",

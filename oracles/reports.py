@@ -82,7 +82,7 @@ SQL["f5_rate_listing"] = compose(
     """
 SELECT event_id, competitor, room_type, check_in_date, price, is_available FROM rates
 WHERE hotel_id = 'H0000' AND check_in_date BETWEEN DATE '2025-06-01' AND DATE '2025-07-01'
-ORDER BY check_in_date, collected_at DESC, event_id LIMIT 200
+
 """,
     "rates",
 )
@@ -90,7 +90,7 @@ SQL["f6_pricing_history"] = compose(
     """
 SELECT prediction_id, room_type, check_in_date, final_price AS final_recommended_price,
        round(price_change_percent, 8) AS price_change_percent, blended_demand, confidence
-FROM audit WHERE hotel_id = 'H0000' ORDER BY created_at DESC, prediction_id LIMIT 50
+FROM audit WHERE hotel_id = 'H0000'
 """,
     "audit",
 )
@@ -145,11 +145,11 @@ FROM bookings GROUP BY 1
 SQL["s6_load_report"] = compose(
     """
 SELECT 'rows:hotels' AS item, count(*) AS value FROM hotels
-UNION ALL SELECT 'rows:rooms', count(*) FROM rooms WHERE hotel_id <> 'H0000'
+UNION ALL SELECT 'rows:rooms', count(*) FROM rooms
 UNION ALL SELECT 'rows:bookings', count(*) FROM bookings
 UNION ALL SELECT 'rooms without a hotel', count(*) FROM rooms WHERE hotel_id NOT IN (SELECT hotel_id FROM hotels)
 UNION ALL SELECT 'hotels without rooms', count(*) FROM hotels
-  WHERE hotel_id NOT IN (SELECT hotel_id FROM rooms WHERE hotel_id <> 'H0000')
+  WHERE hotel_id NOT IN (SELECT hotel_id FROM rooms)
 """,
     "hotels",
     "rooms",
@@ -281,7 +281,8 @@ SQL["a12_feed_status"] = compose(
     """
 SELECT source, count(*) AS rows,
        count(*) FILTER (collected_at >= TIMESTAMP '2025-11-30 23:30:00') AS last_hour,
-       max(collected_at)::DATE AS newest FROM rates GROUP BY 1
+       max(collected_at)::DATE AS newest FROM rates
+WHERE collected_at <= TIMESTAMP '2025-12-01 00:30:00' GROUP BY 1
 """,
     "rates",
 )
