@@ -213,6 +213,15 @@ def m7(spark, folder):
     )
 
 
+@QUERIES.add("m5_fit_report")
+def m5b(spark, folder):
+    """Which series could be fitted; suites are given too short a history on purpose."""
+    filled = S.fill_gaps(
+        series(spark, folder).where("room_type <> 'suite' OR ds >= DATE'2025-11-01'")
+    )
+    return S.fit_report(filled, S.fit(filled))
+
+
 # --- boosted regressor --------------------------------------------------------------------------
 
 
@@ -241,6 +250,13 @@ def w7(spark, folder):
     return settled(top, correlation=6)
 
 
+@QUERIES.add("w7_importance_top20")
+def w7b(spark, folder):
+    """The twenty features that matter most to the regressor."""
+    model, _, _ = _trained(spark, folder)
+    return T.impurity_importance(spark, model).limit(20)
+
+
 @QUERIES.add("m12_permutation_importance")
 def m12(spark, folder):
     model, _, test = _trained(spark, folder)

@@ -18,6 +18,7 @@ from nightledger.operators import forecast as S
 from nightledger.operators import market as M
 from nightledger.operators import pricing as R
 from nightledger.operators import quality as Z
+from nightledger.sources.schemas import LOAD_ORDER
 from nightledger.sources import files
 from nightledger.sources import warehouse as W
 
@@ -181,13 +182,47 @@ def s2(spark, folder):
     )
 
 
+@QUERIES.add("s2_csv_tables")
+def s2b(spark, folder):
+    """All five tables written as CSV in parent order and read back with their schemas."""
+    from nightledger.session import work_dir
+
+    frames = {
+        "hotels": W.hotels(spark, folder).withColumns(
+            {"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")}
+        ),
+        "rooms": W.rooms(spark, folder),
+        "bookings": W.bookings(spark, folder),
+        "competitor_prices": W.competitor_prices(spark, folder),
+        "demand_signals": W.demand_signals(spark, folder),
+    }
+    parts = []
+    for table in LOAD_ORDER:
+        if table in frames:
+            path = work_dir(spark, f"{table}-csv")
+            files.write_csv(files.align(frames[table], table), path)
+            read = files.read_csv(spark, path, table)
+            parts.append(
+                read.agg(F.count("*").alias("n"), F.countDistinct("hotel_id").alias("hotels")).select(
+                    F.lit(table).alias("table_name"), "n", "hotels"
+                )
+            )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @QUERIES.add("s3_csv_write")
 def s3(spark, folder):
+    """The matrix written as CSV and counted as it is read back; part files carry a header each."""
     from nightledger.session import work_dir
 
     path = work_dir(spark, "matrix-csv")
-    files.write_csv(FQ.matrix(spark, folder), path)
-    return spark.read.text(path).agg(F.count("*").alias("lines"))
+    matrix = FQ.matrix(spark, folder)
+    files.write_csv(matrix, path)
+    back = spark.read.schema(matrix.schema).option("header", True).csv(path)
+    return back.agg(F.count("*").alias("rows"), F.count("hotel_id").alias("named"))
 
 
 @QUERIES.add("s4_aligned_frame")
@@ -228,7 +263,8 @@ def s9(spark, folder):
     report = A.matrix_summary(FQ.matrix(spark, folder))
     path = work_dir(spark, "summary-json")
     files.write_json(report, path)
-    return files.read_json(spark, path, report.schema)
+    back = files.read_json(spark, path, report.schema)
+    return settled(back, competitor_gap_share=6, target_mean=6, target_std=6)
 
 
 @QUERIES.add("s11_collection_plan")
@@ -296,6 +332,11 @@ def a5(spark, folder):
     )
 
 
+@QUERIES.add("a5_revpar_ranking")
+def a5b(spark, folder):
+    return A.revpar_ranking(W.hotels(spark, folder), kpis(spark, folder))
+
+
 @QUERIES.add("a6_market_summary")
 def a6(spark, folder):
     return settled(M.market_summary(FQ.rates(spark, folder)), competitor_rate=6, spread_percent=6)

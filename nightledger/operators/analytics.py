@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightledger.config import FEATURES, GRAIN, ROOM_KEY, TARGET
@@ -65,6 +65,16 @@ def estate_overview(hotels: DataFrame, kpis: DataFrame) -> DataFrame:
     )
 
 
+def revpar_ranking(hotels: DataFrame, kpis: DataFrame) -> DataFrame:
+    """Hotels by revenue per available room, the best first; equals share a rank.
+
+    A hotel is one row here, and only hotels are ranked together.
+    """
+    rank = F.rank().over(Window.orderBy(F.desc("revpar")))
+    traded = hotels.select("hotel_id", "city").join(kpis.select("hotel_id", "revpar"), "hotel_id")
+    return traded.select(rank.alias("place"), "hotel_id", "city", "revpar")
+
+
 def nightly_facts(
     bookings: DataFrame, rooms: DataFrame, hotels: DataFrame, rates: DataFrame, signals: DataFrame
 ) -> DataFrame:

@@ -250,8 +250,13 @@ def fingerprint(matrix: DataFrame) -> DataFrame:
     needs no sort.
     """
     columns = [*GRAIN, *FEATURES, TARGET]
-    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
-    return matrix.agg(F.count("*").alias("n"), total.alias("total")).select(
+    # Whole millionths as text, so that any engine gets the same hash.
+    shown = [F.col(c).cast("string") for c in GRAIN] + [
+        F.round(F.col(c) * 1e6).cast("bigint").cast("string") for c in (*FEATURES, TARGET)
+    ]
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in shown])
+    row = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return matrix.agg(F.count("*").alias("n"), F.sum(row).alias("total")).select(
         F.col("n").alias("hashed_rows"),
         F.sha2(
             F.concat_ws("|", F.col("n").cast("string"), F.col("total").cast("string"),

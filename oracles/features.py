@@ -362,3 +362,19 @@ LEFT JOIN city_days e ON e.city = n.city AND e.day = n.stay_date
     "calendar",
     "city_days",
 )
+SQL["x15_contract"] = compose(
+    f"SELECT count(*) AS checked_rows, {len(FEATURES)}::INT AS feature_columns FROM matrix", "matrix"
+)
+_SHOWN = ", ".join(
+    [f"coalesce({c}::VARCHAR, 'null')" for c in GRAIN.split(", ")]
+    + [f"coalesce(round({c} * 1e6)::BIGINT::VARCHAR, 'null')" for c in (*FEATURES, "target_demand")]
+)
+SQL["x19_fingerprint"] = compose(
+    f"""
+SELECT count(*) AS hashed_rows,
+  sha256(count(*)::VARCHAR || '|' || sum(('0x' || substr(md5(concat_ws('|', {_SHOWN})), 1, 12))::BIGINT)::VARCHAR
+    || '|' || '{",".join([*GRAIN.split(", "), *FEATURES, "target_demand"])}') AS fingerprint
+FROM matrix
+""",
+    "matrix",
+)

@@ -451,3 +451,4 @@ FROM repriced
 """,
     "repriced",
 )
+SQL["p16_audit_rows"] = compose("SELECT count(*) AS pairs, count(*) AS distinct_ids FROM context", "context")

@@ -431,3 +431,22 @@ ORDER BY created_at DESC, prediction_id LIMIT 5000
 """,
     "audit",
 )
+SQL["a5_revpar_ranking"] = compose(
+    """
+SELECT rank() OVER (ORDER BY revpar DESC)::INT AS place, hotel_id, city, revpar FROM hotels JOIN kpis USING (hotel_id)
+""",
+    "hotels",
+    "kpis",
+)
+_LOADED = ("hotels", "rooms", "bookings", "competitor_prices", "demand_signals")
+SQL["s2_csv_tables"] = compose(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n, count(DISTINCT hotel_id) AS hotels FROM {c}"
+        for t, c in zip(_LOADED, ("hotels", "rooms", "bookings", "rates", "signals"))
+    ),
+    "hotels", "rooms", "bookings", "rates", "signals",
+)
+SQL["s3_csv_write"] = compose("SELECT count(*) AS rows, count(hotel_id) AS named FROM matrix", "matrix")
+SQL["s5_bulk_load"] = SQL["s6_load_report"]
+SQL["s4_aligned_frame"] = compose("SELECT * REPLACE (revenue::DECIMAL(12,2) AS revenue, adr::DECIMAL(12,2) AS adr) FROM bookings", "bookings")
+SQL["s9_json_report"] = SQL["a15_matrix_summary"]
