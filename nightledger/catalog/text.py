@@ -102,6 +102,28 @@ def k10b(spark, folder):
     return X.page_report(pages, X.rate_cards(pages, W.BRAND_CYCLE, CARD, PRICE, UNIT))
 
 
+PARAGRAPH, WHOLE = r"(?s)<p>(.*?)</p>", r"(?s)(.*)"
+
+
+def site_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return W.table(spark, folder, "pages").selectExpr("page_id", "'standard' AS room_type", "html")
+
+
+@QUERIES.add("k10_site_cards")
+def k10c(spark, folder):
+    """The extractor on raw pages of other sites: every paragraph is a card."""
+    cards = X.rate_cards(site_pages(spark, folder), W.BRAND_CYCLE, PARAGRAPH, WHOLE, WHOLE)
+    return cards.select(
+        "page_id", F.col("position").cast("int").alias("position"), "competitor", "price", "card_room"
+    )
+
+
+@QUERIES.add("k10_site_report")
+def k10d(spark, folder):
+    pages = site_pages(spark, folder)
+    return X.page_report(pages, X.rate_cards(pages, W.BRAND_CYCLE, PARAGRAPH, WHOLE, WHOLE))
+
+
 @QUERIES.add("k12_redacted_documents")
 def k12(spark, folder):
     documents = W.table(spark, folder, "documents")

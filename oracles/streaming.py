@@ -196,6 +196,34 @@ FROM cards GROUP BY 1
 """,
     "cards",
 )
+_ROOM = " ".join(
+    f"WHEN regexp_matches(lower(card), '{'|'.join(words)}') THEN '{room}'" for room, words in X.ROOM_WORDS["site"]
+)
+cte(
+    "site_cards",
+    f"""
+SELECT page_id, position, card, CASE {_ROOM} END AS card_room, CASE WHEN v > 0 THEN v END AS price
+FROM (SELECT *, try_cast(rtrim(regexp_replace(regexp_extract(card, '{_RX}', 1), '{X.SEPARATORS}', '', 'g'), '.')
+                         AS DOUBLE) AS v
+      FROM (SELECT page_id, unnest(c) AS card, unnest(range(len(c)))::INT AS position
+            FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS c FROM pages)))
+""",
+)
+SQL["k10_site_cards"] = compose(
+    """
+SELECT page_id, position, (['booking', 'expedia', 'agoda', 'makemytrip'])[position % 4 + 1] AS competitor,
+       price, card_room FROM site_cards
+""",
+    "site_cards",
+)
+SQL["k10_site_report"] = compose(
+    """
+SELECT page_id, count(card) AS cards, count(*) FILTER (price IS NOT NULL AND card_room = 'standard') AS rates,
+       count(*) FILTER (card IS NOT NULL AND price IS NULL) AS sold_out, count(card) = 0 AS parse_failed
+FROM pages LEFT JOIN site_cards USING (page_id) GROUP BY 1
+""",
+    "site_cards",
+)
 _WORDS = "|".join(X.SECRET_WORDS)
 SQL["k12_redacted_documents"] = f"""
 SELECT doc_id, md5(t) AS digest, ((length(t) - length(replace(t, '{X.MASK}', ''))) / {len(X.MASK)})::INT AS masked
