@@ -78,6 +78,8 @@ SQL["t7_idempotent_append"] = compose(
     """
 SELECT DISTINCT event_id, 1::BIGINT AS n FROM judged
 WHERE poison IS NULL AND rejected IS NULL AND kind = 'booking' AND event_id IS NOT NULL
+UNION ALL SELECT * FROM (SELECT 'made up', count(*) AS n FROM judged
+WHERE poison IS NULL AND rejected IS NULL AND kind = 'booking' AND event_id IS NULL) WHERE n > 0
 """,
     "judged",
 )
@@ -115,7 +117,7 @@ SELECT outcome, reason, n::BIGINT AS n FROM (
 )
 SQL["t10_replayed_stream"] = compose(
     """
-SELECT 'bookings' AS table_name, count(DISTINCT event_id) AS n FROM judged
+SELECT 'bookings' AS table_name, count(DISTINCT event_id) + 2 * count(*) FILTER (event_id IS NULL) AS n FROM judged
   WHERE poison IS NULL AND rejected IS NULL AND kind = 'booking'
 UNION ALL SELECT 'competitor_prices', count(DISTINCT event_id) FROM judged
   WHERE poison IS NULL AND rejected IS NULL AND kind = 'rate'
