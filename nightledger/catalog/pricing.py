@@ -219,15 +219,20 @@ def context(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def past(spark: SparkSession, folder: str) -> DataFrame:
+    """What was known at ``AS_OF``: later nights have no label yet."""
+    return stored(spark, folder).where(F.col("stay_date") < F.lit(W.AS_OF))
+
+
 def models(spark: SparkSession, folder: str) -> DataFrame:
-    return S.fit(S.fill_gaps(S.daily_series(stored(spark, folder))))
+    return S.fit(S.fill_gaps(S.daily_series(past(spark, folder))))
 
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
     return P.reprice(
         context(spark, folder),
         models=models(spark, folder),
-        history=D.weekday_history(stored(spark, folder)),
+        history=D.weekday_history(past(spark, folder)),
     )
 
 

@@ -197,6 +197,25 @@ def forecast_dates(models: DataFrame, wanted: DataFrame, keys: list[str] = SERIE
     return predict(dated).select(*keys, *_OUTPUT)
 
 
+def with_forecast(nights: DataFrame, models: DataFrame, day: str = "stay_date") -> DataFrame:
+    """Forecast and band beside each night; null for a series without a model.
+
+    Coefficients are one row per series and are joined on the series, so the nights are
+    neither made distinct nor joined back.
+    """
+    own = [c for c in models.columns if c not in SERIES]
+    marked = models.select(*SERIES, F.struct(*own).alias("_model"))
+    joined = nights.join(marked, SERIES, "left")
+    answers = predict(
+        joined.select("*", F.col(day).alias("ds"), *[F.col(f"_model.{c}").alias(c) for c in own])
+    )
+    known = F.col("_model").isNotNull()
+    return answers.select(
+        *[F.col(c) for c in nights.columns],
+        *[F.when(known, F.col(c)).alias(c) for c in ("forecast", "forecast_lower", "forecast_upper")],
+    )
+
+
 def backtest(
     filled: DataFrame, keys: list[str] = SERIES, config: ForecastConfig = FORECAST_CONFIG
 ) -> DataFrame:

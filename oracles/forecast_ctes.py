@@ -9,19 +9,24 @@ SELECT hotel_id, room_type, stay_date AS ds, realised AS y FROM skeleton
 """,
     "skeleton",
 )
-cte(
-    "series_days",
-    """
+cte("past_series", "SELECT * FROM series WHERE ds < DATE '2025-12-01'", "series")
+
+
+def register_filled(source: str, name: str) -> None:
+    """Every calendar day of each series of ``source``, gaps on the line between neighbours."""
+    cte(
+        f"{name}_days",
+        f"""
 SELECT s.hotel_id, s.room_type, d.day AS ds
-FROM (SELECT hotel_id, room_type, min(ds) AS a, max(ds) AS b FROM series GROUP BY ALL) s
+FROM (SELECT hotel_id, room_type, min(ds) AS a, max(ds) AS b FROM {source} GROUP BY ALL) s
 JOIN days d ON d.day BETWEEN s.a AND s.b
 """,
-    "series",
-    "days",
-)
-cte(
-    "filled",
-    """
+        source,
+        "days",
+    )
+    cte(
+        name,
+        f"""
 SELECT hotel_id, room_type, ds,
        CASE WHEN y IS NOT NULL THEN y
             ELSE y0 + (y1 - y0) * date_diff('day', d0, ds) / date_diff('day', d0, d1) END AS y
@@ -29,15 +34,19 @@ FROM (
   SELECT d.hotel_id, d.room_type, d.ds, s.y,
          last_value(s.y IGNORE NULLS) OVER w AS y0, last_value(s.ds IGNORE NULLS) OVER w AS d0,
          first_value(s.y IGNORE NULLS) OVER v AS y1, first_value(s.ds IGNORE NULLS) OVER v AS d1
-  FROM series_days d LEFT JOIN series s USING (hotel_id, room_type, ds)
+  FROM {name}_days d LEFT JOIN {source} s USING (hotel_id, room_type, ds)
   WINDOW w AS (PARTITION BY d.hotel_id, d.room_type ORDER BY d.ds
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          v AS (PARTITION BY d.hotel_id, d.room_type ORDER BY d.ds
                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 """,
-    "series_days",
-    "series",
-)
+        f"{name}_days",
+        source,
+    )
+
+
+register_filled("series", "filled")
+register_filled("past_series", "past")
 
 
 def fitted(source: str, keys: str) -> tuple[str, str, str]:
@@ -88,3 +97,4 @@ LEFT JOIN {source}_weekly USING ({keys}, wd)
 
 
 register("filled", "hotel_id, room_type")
+register("past", "hotel_id, room_type")

@@ -15,9 +15,9 @@ SQL["w8_gap_filled_series"] = compose(
 SQL["j10_complete_calendar"] = compose(
     """
 SELECT d.hotel_id, d.room_type, count(*) AS calendar_days, count(s.ds) AS observed_days
-FROM series_days d LEFT JOIN series s USING (hotel_id, room_type, ds) GROUP BY 1, 2
+FROM filled_days d LEFT JOIN series s USING (hotel_id, room_type, ds) GROUP BY 1, 2
 """,
-    "series_days",
+    "filled_days",
     "series",
 )
 _wd = ", ".join(

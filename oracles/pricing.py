@@ -409,17 +409,26 @@ FROM blended
 """,
     "blended",
 )
+cte(
+    "past_weekday_history",
+    """
+SELECT hotel_id, room_type, (isodow(stay_date) - 1)::INT AS weekday,
+       avg(target_demand) AS fallback_demand
+FROM stored WHERE stay_date < DATE '2025-12-01' GROUP BY 1, 2, 3
+""",
+    "stored",
+)
 cte(
     "night_forecasts",
     forecast(
-        "filled",
+        "past",
         "hotel_id, room_type",
         "SELECT hotel_id, room_type, stay_date AS ds FROM context",
     ),
     "context",
-    "filled_trend",
-    "filled_weekly",
-    "filled_band",
+    "past_trend",
+    "past_weekly",
+    "past_band",
 )
 cte(
     "demanded",
@@ -428,12 +437,12 @@ SELECT c.*, f.forecast, f.forecast_lower, f.forecast_upper, NULL::DOUBLE AS boos
        NULL::DOUBLE AS boosted_lower, NULL::DOUBLE AS boosted_upper, w.fallback_demand
 FROM context c
 LEFT JOIN night_forecasts f ON f.hotel_id = c.hotel_id AND f.room_type = c.room_type AND f.ds = c.stay_date
-LEFT JOIN weekday_history w ON w.hotel_id = c.hotel_id AND w.room_type = c.room_type
+LEFT JOIN past_weekday_history w ON w.hotel_id = c.hotel_id AND w.room_type = c.room_type
   AND w.weekday = isodow(c.stay_date) - 1
 """,
     "context",
     "night_forecasts",
-    "weekday_history",
+    "past_weekday_history",
 )
 cte("reprice_blend", blended("demanded"), "demanded")
 cte("reprice_adjusted", adjusted("reprice_blend"), "reprice_blend")
