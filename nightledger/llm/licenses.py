@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 A paragraph is a line of a text; longer ones are read in overlapping windows of ``WINDOW`` words,
-so whole texts are covered.  Word one- to three-grams are hashed and a multinomial logistic
+so whole texts are covered.  Words and word pairs are hashed and a multinomial logistic
 regression with an elastic-net penalty (so most weights are zero) names a licence family or
 ``none``.  It is trained on notices made from the templates by rule and on windows drawn from the
 corpus that resemble no template; a held-out fifth calibrates the temperature and the constant of
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from nightledger.llm.common import store, table
 
-WINDOW, STRIDE = 64, 48
-FEATURES = 1 << 13
+WINDOW, STRIDE = 96, 80
+FEATURES = 1 << 12
 NEGATIVES, SAMPLED_DOCUMENTS = 2_000, 400
 ALIKE, UNLIKE = 0.6, 0.3
 NONE = "none"
@@ -172,7 +172,7 @@ class Scanner:
 
     def logits(self, rows: DataFrame) -> DataFrame:
         out = self.model.transform(featured(rows)).withColumn("z", vector_to_array("rawPrediction"))
-        return out.drop("features", "rawPrediction", "probability", "prediction", "grams", "two", "three")
+        return out.drop("features", "rawPrediction", "probability", "prediction", "grams", "two")
 
     def named(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``words``) that are named a family: family, probability, similarity, confirmed."""
@@ -192,9 +192,9 @@ class Scanner:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """Hashed one- to three-grams of ``words``."""
-    rows = NGram(n=3, inputCol="words", outputCol="three").transform(NGram(n=2, inputCol="words", outputCol="two").transform(rows))
-    rows = rows.withColumn("grams", F.concat("words", "two", "three"))
+    """Hashed words and word pairs of ``words``."""
+    rows = NGram(n=2, inputCol="words", outputCol="two").transform(rows)
+    rows = rows.withColumn("grams", F.concat("words", "two"))
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
 
 
