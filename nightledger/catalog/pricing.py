@@ -192,6 +192,14 @@ def p12(spark, folder):
     return out.select(*GRAIN, "rules", "final_price")
 
 
+@QUERIES.add("p12_guardrail_reasons")
+def p12b(spark, folder):
+    """How often each rule moved a price, with the reason that the log gives."""
+    priced = R.counted(R.guarded_price(_unsteady(spark, folder)), "reasons")
+    hits = priced.select(F.expr("inline(guardrails)"))
+    return hits.groupBy("rule", "reason").agg(F.count("*").alias("n"))
+
+
 @QUERIES.add("p13_change_percent")
 def p13(spark, folder):
     out = R.guarded_price(_unsteady(spark, folder))

@@ -186,7 +186,21 @@ def raw_price(grid: DataFrame, config: PricingConfig = PRICING_CONFIG) -> DataFr
 # --- guardrails -----------------------------------------------------------------------------
 
 
-_HIT = "array<struct<rule:string,before:double,after:double,delta:double>>"
+_HIT = "array<struct<rule:string,before:double,after:double,delta:double,reason:string>>"
+
+#: Why each rule moves a price, as the log says it.
+REASONS = {
+    "SANITY_CHECK": "no usable price, or far above the base rate",
+    "LOW_OCCUPANCY_RISE_BLOCK": "no rise while few rooms are sold",
+    "MAX_DAILY_RISE": "rise larger than a day may bring",
+    "MAX_DAILY_FALL": "fall larger than a day may bring",
+    "COMPETITOR_UPPER_BAND": "too far above the dearest competitor",
+    "COMPETITOR_LOWER_BAND": "too far below the cheapest competitor",
+    "ROOM_CEILING": "above the ceiling of the room",
+    "ROOM_FLOOR": "below the floor of the room",
+    "MAX_PRICE_CEILING": "above the highest price of the estate",
+    "MIN_PRICE_FLOOR": "below the lowest price of the estate",
+}
 
 
 def guardrail_bounds(config: PricingConfig = PRICING_CONFIG) -> str:
@@ -238,10 +252,11 @@ def guardrail_bounds(config: PricingConfig = PRICING_CONFIG) -> str:
     entries = [
         f"named_struct('rule', '{name}', 'upper', {bound if side == 'upper' else 'NULL'},"
         f" 'lower', {bound if side == 'lower' else 'NULL'},"
-        f" 'repair', {'base_price' if name == 'SANITY_CHECK' else 'NULL'})"
+        f" 'repair', {'base_price' if name == 'SANITY_CHECK' else 'NULL'},"
+        f" 'reason', '{REASONS[name]}')"
         for name, side, bound in rules
     ]
-    kind = "array<struct<rule:string,upper:double,lower:double,repair:double>>"
+    kind = "array<struct<rule:string,upper:double,lower:double,repair:double,reason:string>>"
     return f"cast(array({', '.join(entries)}) AS {kind})"
 
 
@@ -265,7 +280,7 @@ def guarded_price(priced: DataFrame, config: PricingConfig = PRICING_CONFIG) ->
     )
     hit = (
         f"named_struct('rule', b.rule, 'before', acc.price, 'after', {target},"
-        f" 'delta', {target} - acc.price)"
+        f" 'delta', {target} - acc.price, 'reason', b.reason)"
     )
     fold = (
         f"aggregate({guardrail_bounds(config)},"

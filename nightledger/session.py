@@ -7,7 +7,10 @@ shuffle partitions) belongs to the cluster, so it is left alone when already cho
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +52,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.lru_cache(maxsize=1)
+def _local_root() -> str:
+    """One temporary folder per local process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="nightledger-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables and streaming checkpoints a job writes.
 
@@ -62,5 +73,5 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="nightledger-")
+        root = _local_root()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -1,6 +1,7 @@
 """Statements of the pricing family."""
 
 import oracles.features  # noqa: F401  (registers the request CTEs)
+from nightledger.operators.pricing import REASONS
 from oracles.base import compose, cte, season
 from oracles.forecast_ctes import forecast
 
@@ -461,3 +462,11 @@ FROM repriced
     "repriced",
 )
 SQL["p16_audit_rows"] = compose("SELECT count(*) AS pairs, count(*) AS distinct_ids FROM context", "context")
+_REASONS = " ".join(f"WHEN '{rule}' THEN '{text}'" for rule, text in REASONS.items())
+SQL["p12_guardrail_reasons"] = compose(
+    f"""
+SELECT rule, CASE rule {_REASONS} END AS reason, count(*) AS n
+FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM guarded WHERE rules <> '') GROUP BY 1, 2
+""",
+    "guarded",
+)
