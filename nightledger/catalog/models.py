@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightledger.catalog import Registry
 from nightledger.catalog import features as FQ
-from nightledger.catalog.pricing import stored
+from nightledger.catalog.pricing import context, flat, models, past, stored
 from nightledger.config import BOOST_CONFIG, GRAIN, ROOM_KEY, TARGET
 from nightledger.functions import calendar as C
 from nightledger.functions.numeric import settled
@@ -18,6 +18,7 @@ from nightledger.operators import analytics as A
 from nightledger.operators import demand as D
 from nightledger.operators import forecast as S
 from nightledger.operators import metrics as E
+from nightledger.plans import pricing as PP
 from nightledger.plans import training as T
 from nightledger.session import work_dir
 from nightledger.sources import files
@@ -289,3 +290,25 @@ def s10(spark, folder):
         chosen.withColumnRenamed("version", "served"), F.col("version") == F.col("served"), "left"
     ).selectExpr("version", "version_number", "n", "round(mae, 6) AS mae", "usable",
                  "served IS NOT NULL AS is_served")
+
+
+@QUERIES.add("p14_reprice_two_models")
+def p14b(spark, folder):
+    """The batch reprice with both models: series forecast and regressor, fitted on past nights."""
+    matrix = files.write_and_read(FQ.matrix(spark, folder), "matrix")
+    known = matrix.where(F.col("stay_date") < F.lit(W.AS_OF))
+    model = T.fit_boosted(known, SHORT)
+    # One residual deviation, taken from the nights that were known.
+    spread = T.predict_boosted(model, known).agg(
+        F.stddev_pop(F.col(TARGET) - F.col("boosted")).alias("residual_std")
+    )
+    boosted = T.predict_boosted(model, matrix).select(*GRAIN, "boosted").join(F.broadcast(spread))
+    out = PP.reprice(
+        context(spark, folder),
+        models=models(spark, folder),
+        boosted=D.residual_band(boosted),
+        history=D.weekday_history(past(spark, folder)),
+    )
+    return flat(out).select(
+        *GRAIN, "forecast", "boosted", "blended_demand", "confidence", "raw_price", "final_price", "rules"
+    )

@@ -317,6 +317,45 @@ def c13(spark, folder):
     return Z.violations(damaged, "bookings")
 
 
+@QUERIES.add("c13_integrity_of_all_tables")
+def c13b(spark, folder):
+    """Broken rules of the other tables, each with damage of its own, in one pass per table."""
+    number = "cast(substring(hotel_id, 2) AS INT)"
+    k = "cast(event_id AS BIGINT)"
+    damaged = {
+        "hotels": W.hotels(spark, folder).withColumns(
+            {
+                "star_rating": F.expr(f"CASE WHEN {number} % 3 = 0 THEN 9 ELSE star_rating END"),
+                "total_rooms": F.expr(f"CASE WHEN {number} % 4 = 1 THEN 0 ELSE total_rooms END"),
+            }
+        ),
+        "rooms": W.rooms(spark, folder).withColumns(
+            {
+                "room_type": F.expr(f"CASE WHEN {number} % 5 = 0 THEN 'attic' ELSE room_type END"),
+                "floor_price": F.expr(f"CASE WHEN {number} % 2 = 0 THEN ceiling_price ELSE floor_price END"),
+                "base_price": F.expr(f"CASE WHEN {number} % 7 = 2 THEN -base_price ELSE base_price END"),
+            }
+        ),
+        "competitor_prices": W.competitor_prices(spark, folder).withColumns(
+            {
+                "competitor": F.expr(f"CASE WHEN {k} % 11 = 0 THEN 'unknown' ELSE competitor END"),
+                "price": F.expr(f"CASE WHEN {k} % 13 = 0 THEN 0D ELSE price END"),
+            }
+        ),
+        "demand_features": FQ.matrix(spark, folder).withColumn(
+            "occupancy_rate", F.expr("CASE WHEN day_of_week = 6 THEN 1.5D ELSE occupancy_rate END")
+        ).withColumn("target_demand", F.expr("CASE WHEN day_of_week = 2 THEN -1D ELSE target_demand END")),
+    }
+    parts = [
+        Z.violations(frame, table).select(F.lit(table).alias("table_name"), "rule", "broken_rows")
+        for table, frame in damaged.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --- trading ----------------------------------------------------------------------------------
 
 

@@ -50,10 +50,15 @@ RULES: dict[str, dict[str, str]] = {
 def violations(frame: DataFrame, table: str) -> DataFrame:
     """Rows breaking each rule of a table, in one pass.  Nulls do not break a rule."""
     rules = RULES[table]
+    # Rule names hold dots, so the counts get plain names until they are laid out as rows.
     row = frame.agg(
-        *[F.expr(f"count_if(NOT ({test}))").alias(name) for name, test in rules.items()]
+        *[F.expr(f"count_if(NOT ({test}))").alias(f"_{i}") for i, test in enumerate(rules.values())]
     )
-    return row.unpivot([], list(rules), "rule", "broken_rows")
+    counts = [
+        F.struct(F.lit(name).alias("rule"), F.col(f"_{i}").alias("broken_rows"))
+        for i, name in enumerate(rules)
+    ]
+    return row.select(F.explode(F.array(*counts)).alias("r")).select("r.rule", "r.broken_rows")
 
 
 def first_reason(reasons: list[tuple[str, str]]) -> Column:

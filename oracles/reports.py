@@ -450,3 +450,31 @@ SQL["s3_csv_write"] = compose("SELECT count(*) AS rows, count(hotel_id) AS named
 SQL["s5_bulk_load"] = SQL["s6_load_report"]
 SQL["s4_aligned_frame"] = compose("SELECT * REPLACE (revenue::DECIMAL(12,2) AS revenue, adr::DECIMAL(12,2) AS adr) FROM bookings", "bookings")
 SQL["s9_json_report"] = SQL["a15_matrix_summary"]
+
+
+def _broken(table: str, source: str, rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) FILTER ({test}) AS broken_rows FROM {source}"
+        for rule, test in rules.items()
+    )
+
+
+_NUMBER = "substr(hotel_id, 2)::INT"
+SQL["c13_integrity_of_all_tables"] = compose(
+    " UNION ALL ".join(
+        [
+            _broken("hotels", "hotels", {
+                "star rating 1..5": f"{_NUMBER} % 3 = 0", "rooms above zero": f"{_NUMBER} % 4 = 1"}),
+            _broken("rooms", "rooms", {
+                "known room type": f"{_NUMBER} % 5 = 0", "room count above zero": "room_count <= 0",
+                "base price above zero": f"{_NUMBER} % 7 = 2", "capacity above zero": "false",
+                "floor below ceiling": f"{_NUMBER} % 2 = 0"}),
+            _broken("competitor_prices", "rates", {
+                "known competitor": "event_id::BIGINT % 11 = 0", "price above zero": "event_id::BIGINT % 13 = 0"}),
+            _broken("demand_features", "matrix", {
+                "weekday 0..6": "false", "occupancy 0..1": "day_of_week = 6",
+                "target not negative": "day_of_week = 2", "available not negative": "available_rooms < 0"}),
+        ]
+    ),
+    "hotels", "rooms", "rates", "matrix",
+)
