@@ -409,7 +409,7 @@ def k2(spark, folder):
 
 @QUERIES.add("k3_holiday")
 def k3(spark, folder):
-    on = C.holiday_on(F.col("stay_date"))
+    on = C.holiday_on("stay_date")
     names = ("holiday_name", "leisure_bias", "significance")
     return nights(spark, folder).withColumns({name: on[name] for name in names})
 

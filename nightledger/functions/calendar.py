@@ -138,34 +138,41 @@ def holidays(spark: SparkSession, first: date, last: date) -> DataFrame:
     )
 
 
-def holiday_on(day: Column) -> Column:
-    """The holiday of any day, or null: the more significant one, the fixed one on a tie.
+def _entry(name: str, significance: float, bias: float, fixed: int) -> str:
+    return (
+        f"named_struct('significance', {significance}D, 'fixed', {fixed},"
+        f' \'holiday_name\', "{name}", \'leisure_bias\', {bias}D)'
+    )
 
-    A struct of significance, fixed, holiday_name and leisure_bias, in that order of rank.
-    """
 
-    def entry(name: str, significance: float, bias: float, fixed: int) -> Column:
-        parts = (("significance", significance), ("fixed", fixed), ("holiday_name", name), ("leisure_bias", bias))
-        return F.struct(*[F.lit(value).alias(label) for label, value in parts])
+# The holidays as map literals: by month and day, and by date.
+_YEARLY = ", ".join(
+    f"{month * 100 + dom}, {_entry(name, sig, bias, 1)}" for month, dom, name, sig, bias in FIXED_HOLIDAYS
+)
+_DATED = ", ".join(f"DATE'{d}', {_entry(name, sig, bias, 0)}" for d, name, sig, bias in MOVABLE_HOLIDAYS)
 
-    yearly = F.create_map(
-        *[x for month, dom, name, sig, bias in FIXED_HOLIDAYS for x in (F.lit(month * 100 + dom), entry(name, sig, bias, 1))]
-    )
-    dated = F.create_map(
-        *[x for d, name, sig, bias in MOVABLE_HOLIDAYS for x in (F.lit(date.fromisoformat(d)), entry(name, sig, bias, 0))]
-    )
-    return F.greatest(
-        F.try_element_at(yearly, F.month(day) * 100 + F.dayofmonth(day)), F.try_element_at(dated, day)
+
+def _holiday(day: str) -> str:
+    return (
+        f"greatest(try_element_at(map({_YEARLY}), month({day}) * 100 + dayofmonth({day})),"
+        f" try_element_at(map({_DATED}), {day}))"
     )
 
 
-def holiday_proximity(day: Column, window: int = 2) -> Column:
+def holiday_on(day: str) -> Column:
+    """The holiday of any day (a date expression), or null: the more significant one, the fixed
+    one on a tie.
+
+    A struct of significance, fixed, holiday_name and leisure_bias, in that order of rank.
+    """
+    return F.expr(_holiday(day))
+
+
+def holiday_proximity(day: str, window: int = 2) -> Column:
     """The strongest pressure of a holiday within ``window`` days, with linear decay."""
-    felt = [
-        holiday_on(F.date_add(day, offset))["significance"] * (1.0 - abs(offset) / float(window + 1))
-        for offset in range(-window, window + 1)
-    ]
-    return F.round(F.coalesce(F.greatest(*felt), F.lit(0.0)), 4)
+    offsets = ", ".join(str(o) for o in range(-window, window + 1))
+    felt = f"{_holiday(f'date_add({day}, o)')}.significance * (1D - abs(o) / {float(window + 1)}D)"
+    return F.expr(f"round(coalesce(array_max(transform(array({offsets}), o -> {felt})), 0D), 4)")
 
 
 def city_events(spark: SparkSession) -> DataFrame:
@@ -216,11 +223,11 @@ def city_event_on(city: Column, day: Column) -> Column:
 
 def with_calendar(frame: DataFrame, day: str = "stay_date") -> DataFrame:
     """Attach holiday columns for ``day``; an ordinary day has no name and proximity 0."""
-    on = holiday_on(F.col(day))
+    on = holiday_on(day)
     return frame.withColumns(
         {
             "holiday_name": on["holiday_name"],
             "leisure_bias": on["leisure_bias"],
-            "holiday_proximity": holiday_proximity(F.col(day)),
+            "holiday_proximity": holiday_proximity(day),
         }
     )

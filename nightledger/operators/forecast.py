@@ -78,7 +78,7 @@ def fit(
         return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0))
 
     frame = (
-        filled.withColumn("holiday_name", holiday_on(F.col("ds"))["holiday_name"])
+        filled.withColumn("holiday_name", holiday_on("ds")["holiday_name"])
         .withColumns(
             {
                 "t": F.expr(f"cast(datediff(ds, {_ORIGIN}) AS DOUBLE)"),
@@ -144,7 +144,7 @@ def predict(dated: DataFrame) -> DataFrame:
     weekday = ", ".join(f"weekday_{d}" for d in range(7))
     month = ", ".join(f"month_{m}" for m in range(1, 13))
     return (
-        dated.withColumn("_festival", holiday_on(F.col("ds"))["holiday_name"])
+        dated.withColumn("_festival", holiday_on("ds")["holiday_name"])
         .withColumn("trend", F.expr(f"intercept + slope * datediff(ds, {_ORIGIN})"))
         .withColumn(
             "_centre",
