@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.config import FEATURE_CONFIG, GRAIN, FeatureConfig
-from nightledger.functions.horizon import with_horizon
+from nightledger.functions.horizon import horizon
 from nightledger.functions.numeric import dbl, ratio
 
 def normalise_rates(raw: DataFrame) -> DataFrame:
@@ -48,9 +48,7 @@ def freshest_per_source(rates: DataFrame) -> DataFrame:
 
 def visible_rates(rates: DataFrame, config: FeatureConfig = FEATURE_CONFIG) -> DataFrame:
     """Only what had been collected by the snapshot of the night."""
-    return with_horizon(rates, config, "_horizon").where(
-        F.col("observation_lead") >= F.col("_horizon")
-    )
+    return rates.where(F.col("observation_lead") >= horizon(config))
 
 
 def competitor_set(freshest: DataFrame) -> DataFrame:
