@@ -125,7 +125,7 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = SCALE) ->
     # Length buckets are ranges of (length, id), so equal lengths are split by id.
     ranged = rows.repartitionByRange(buckets, F.desc("length"), "vec_id").withColumn("bucket", F.spark_partition_id())
     ranged = ranged.withColumn("piece", F.floor(F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("length"), "vec_id")) / BUCKET))
-    ranged = store(ranged.withColumn("bucket", F.col("bucket") * (1 << 20) + F.col("piece")).drop("piece"), "buckets")
+    ranged = store(ranged.withColumn("bucket", F.col("bucket").cast("long") * (1 << 20) + F.col("piece")).drop("piece"), "buckets")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asking = rows.where(queries).withColumn("block", block)
 

@@ -211,6 +211,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         assert got[q] == [(i, scores[i]) for i in order]
 
 
+def test_top_k_of_more_buckets_than_an_int_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 1)  # 2,500 buckets; bucket 2,048 has number 2^31
+    vectors = np.random.default_rng(5).integers(-50, 51, (2_500, 3)).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted(topk.top_k(frame, "vec_id % 500 = 0", k=3, scale=1).collect(), key=lambda g: (g.query_id, g.rank))
+    scores = (vectors @ vectors.T).astype(np.int64)
+    want = [(q, i, scores[q, i]) for q in range(0, 2_500, 500) for i in sorted((i for i in range(2_500) if i != q), key=lambda i: (-scores[q, i], i))[:3]]
+    assert [(g.query_id, g.vec_id, g.score) for g in got] == want
+
+
 def test_code_lengths_are_exact():
     """Probabilities of the 256 bytes after any context add up to one, and lengths to a plain walk."""
     import pandas as pd
