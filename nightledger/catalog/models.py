@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +30,8 @@ METRICS = dict(
     mae=6, rmse=6, mape=5, smape=5, weighted_mape=5, r2=6, bias=6, mape_coverage=6,
     interval_coverage=6, baseline_mae=6,
 )
-# The registered training queries fit fewer trees than the default configuration so that
-# a correctness run stays short; rows and features are complete.
-SHORT = replace(BOOST_CONFIG, max_iter=20, step_size=0.1)
+#: Shuffles of each feature, as in the training run that is rebuilt.
+REPEATS = 5
 
 
 def metric_digits(frame: DataFrame) -> DataFrame:
@@ -228,8 +226,8 @@ def m5b(spark, folder):
 
 def _trained(spark, folder):
     matrix = files.write_and_read(FQ.matrix(spark, folder), "matrix")
-    train, test = T.chronological_split(matrix, SHORT)
-    return T.fit_boosted(train, SHORT), train, test
+    train, test = T.chronological_split(matrix, BOOST_CONFIG)
+    return T.fit_boosted(train, BOOST_CONFIG), train, test
 
 
 @QUERIES.add("m6_boosted_predictions")
@@ -261,13 +259,13 @@ def w7b(spark, folder):
 @QUERIES.add("m12_permutation_importance")
 def m12(spark, folder):
     model, _, test = _trained(spark, folder)
-    return T.permutation_importance(model, test, repeats=2)
+    return T.permutation_importance(model, test, repeats=REPEATS)
 
 
 @QUERIES.add("m14_training_record")
 def m14(spark, folder):
     model, train, test = _trained(spark, folder)
-    record = T.training_record(train, test, T.predict_boosted(model, test), "v1", SHORT)
+    record = T.training_record(train, test, T.predict_boosted(model, test), "v1", BOOST_CONFIG)
     path = work_dir(spark, "reports")
     files.write_json(record, path)
     return files.read_json(spark, path, record.schema)
@@ -297,7 +295,7 @@ def p14b(spark, folder):
     """The batch reprice with both models: series forecast and regressor, fitted on past nights."""
     matrix = files.write_and_read(FQ.matrix(spark, folder), "matrix")
     known = matrix.where(F.col("stay_date") < F.lit(W.AS_OF))
-    model = T.fit_boosted(known, SHORT)
+    model = T.fit_boosted(known, BOOST_CONFIG)
     # One residual deviation, taken from the nights that were known.
     spread = T.predict_boosted(model, known).agg(
         F.stddev_pop(F.col(TARGET) - F.col("boosted")).alias("residual_std")

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nightledger.catalog import models as M
+from nightledger.config import BOOST_CONFIG
 from nightledger.operators import forecast as S
 from nightledger.operators import metrics as E
 from nightledger.operators import monitoring as O
@@ -102,3 +104,37 @@ def test_owned_merge_and_latest(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z")], "k string, t int, v string")
     assert latest_per_key(rows, ["k"], ["t"]).first().v == "y"
     assert rows.agg(F.count("*")).first()[0] == 3
+
+
+TRAINED = (
+    "m6_boosted_predictions", "m11_impurity_importance", "w7_importance_top20",
+    "m12_permutation_importance", "m14_training_record", "p14_reprice_two_models",
+)
+
+
+@pytest.fixture
+def two_nights(spark, monkeypatch):
+    """A matrix of one training and one test night in place of the folder's."""
+    matrix = spark.createDataFrame([(date(2025, 1, 1),), (date(2025, 12, 1),)], "stay_date date")
+    monkeypatch.setattr(M.FQ, "matrix", lambda *_: matrix)
+    monkeypatch.setattr(M.files, "write_and_read", lambda frame, name: frame)
+
+
+@pytest.mark.parametrize("name", TRAINED)
+def test_training_queries_fit_the_whole_configuration(spark, two_nights, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit(rows, config=BOOST_CONFIG):
+        raise Asked(config)
+
+    monkeypatch.setattr(M.T, "fit_boosted", fit)
+    with pytest.raises(Asked) as asked:
+        M.QUERIES[name](spark, "")
+    assert asked.value.args == (BOOST_CONFIG,)
+
+
+def test_permutation_query_shuffles_each_feature_five_times(spark, two_nights, monkeypatch):
+    monkeypatch.setattr(M.T, "fit_boosted", lambda rows, config=BOOST_CONFIG: None)
+    monkeypatch.setattr(M.T, "permutation_importance", lambda model, test, repeats=3, seed=42: repeats)
+    assert M.QUERIES["m12_permutation_importance"](spark, "") == 5
