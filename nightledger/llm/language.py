@@ -8,10 +8,13 @@ all 256 bytes are equally likely.  The statistics are frozen after training, so
 lengths are exact and can be tabulated: one lookup per byte and language.  The language with the
 shortest code for the whole text wins; the score is its share of 2 ** -bits.
 
-Training: a document enters by its hash, at the rate that brings a language to ``sample_bytes``
-bytes of text on average (all of it where there is less).  Byte quadruples are counted in Spark;
-the driver gets the counts, of which there are fewer than the sample has bytes.  The table is
-bounded by ``model_bytes``: contexts of three bytes are kept by count until it is full.
+Training: texts are drawn in pieces of up to ``PIECE`` bytes, each by a hash of document and place,
+at the rate that brings a language to ``sample_bytes`` bytes on average (all of it where there is
+less), so a language of few long documents is drawn from as one of many short ones; a language
+of which nothing is drawn is an error.  Byte quadruples are counted in Spark, within pieces and
+with the three bytes before them; the driver gets the counts, of which there are fewer than the
+sample has bytes.  The table is bounded by ``model_bytes``: contexts of three bytes are kept by
+count until it is full.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is everything
 where nothing can be learned.  Equal code lengths go to the first language in code point order.
@@ -37,6 +40,8 @@ MODEL_BYTES = 24 << 20
 SYMBOLS = 191
 #: Bytes scored at once, so that a very long text takes bounded memory.
 STRIDE = 1 << 20
+#: Bytes of a text that enter training, or do not, as one.
+PIECE = 4_096
 
 
 def stream(text: str) -> np.ndarray:
@@ -45,12 +50,17 @@ def stream(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of byte quadruples by language, in the pieces that are named or else whole texts."""
     for batch in batches:
-        for lang, texts in batch.groupby("lang")["text"]:
+        for lang, rows in batch.groupby("lang"):
             codes = []
-            for text in texts:
-                b = np.concatenate([np.zeros(ORDER, np.uint8), stream(text)]).astype(np.uint32)
-                codes.append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
+            for text, last, pieces in zip(rows["text"], rows.get("last", [0] * len(rows)), rows.get("pieces", [[0]] * len(rows))):
+                b = np.concatenate([np.zeros(ORDER, np.uint8), stream(text)])
+                for piece in pieces:
+                    # Lower case may have another length; the last piece goes to the end.
+                    end = len(b) if piece == last else (piece + 1) * PIECE + ORDER
+                    c = b[piece * PIECE : end].astype(np.uint32)
+                    codes.append(c[:-3] << 24 | c[1:-2] << 16 | c[2:-1] << 8 | c[3:])
             code, n = np.unique(np.concatenate(codes), return_counts=True)
             yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n.astype(np.int64)})
 
@@ -174,10 +184,16 @@ def train(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, model_bytes: i
     if not sizes:
         return NOTHING
     size = F.element_at(F.create_map(*[F.lit(v) for row in sizes for v in (row["lang"], float(row["b"]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw * size < float(sample_bytes)).select("lang", "text")
+    last = F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / PIECE).cast("int")
+    # The head of the text stands for it: all of it would be hashed again for every piece.
+    turn = lambda i: F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text"), i), F.lit(1 << 30)) / float(1 << 30)
+    pieces = F.filter(F.sequence(F.lit(0), last), lambda i: turn(i) * size < float(sample_bytes))
+    sample = known.select("lang", "text", last.alias("last"), pieces.alias("pieces")).where(F.size("pieces") > 0)
     counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()
+    missing = {row["lang"] for row in sizes if row["b"]} - set(rows["lang"])
+    if missing:
+        raise ValueError(f"nothing drawn of the languages {sorted(missing)}")
     return grow(rows, model_bytes) if len(rows) else NOTHING
 
 

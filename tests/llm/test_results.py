@@ -247,6 +247,23 @@ def test_language_held_out(frame):
     assert sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.98 * len(held)
 
 
+def test_language_of_few_long_documents_is_learned(frame):
+    rng = random.Random(9)
+    rows = [(i, invented(rng, lang, 6_000), lang, "s") for i, lang in enumerate(["en", "de", "fr"])]
+    smallest = min(len(r[1].encode()) for r in rows)
+    trees = language.train(frame(rows), sample_bytes=smallest // 3)
+    assert trees.langs == ["de", "en", "fr"]
+    counted = [(r[0], r[1][: len(r[1]) // 20], None, "s") for r in rows]
+    assert {g.doc_id: g.lang_pred for g in language.identify(frame(counted), trees).collect()} == {0: "en", 1: "de", 2: "fr"}
+
+
+def test_all_of_a_small_language_is_counted(frame, monkeypatch):
+    texts, seen = ["ein langer Text in Stücken, İ und ẞ " * 400, "", "kurz"], []
+    monkeypatch.setattr(language, "grow", lambda counts, model_bytes: seen.append(counts))
+    language.train(frame([(i, t, "de", "s") for i, t in enumerate(texts)]))
+    assert seen[0]["n"].sum() == sum(len(language.stream(t)) for t in texts)
+
+
 def test_quality_held_out(frame, labels):
     rng, rows, known = random.Random(9), [], []
     for i in range(500):
