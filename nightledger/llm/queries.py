@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from nightledger.llm import language, licenses, mixing, neardup, packing, quality, sharding, spotsigs, topk, toxicity
+from nightledger.llm import (
+    language,
+    licenses,
+    mixing,
+    neardup,
+    negatives,
+    packing,
+    quality,
+    sharding,
+    spotsigs,
+    topk,
+    toxicity,
+    transducer,
+    whitening,
+)
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -15,10 +29,14 @@ QUERIES = {
     "op8_source_mix": mixing.query,
     "op9_spotsigs": spotsigs.query,
     "op10_ppm_language": language.query,
+    "op11_lanczos_whitening": whitening.query,
+    "op12_kronecker_negatives": negatives.query,
+    "op13_bpe_transducer": transducer.query,
 }
 
 ORACLES = {
     "op1_exact_top_k": topk.SQL,
     "op7_rendezvous_shards": sharding.SQL,
     "op8_source_mix": mixing.SQL,
+    "op12_kronecker_negatives": negatives.SQL,
 }
