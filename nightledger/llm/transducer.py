@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from nightledger.llm.common import prepare, table
 
-STATES, KEPT, LONGEST = 200_000, 500_000, 48
+#: Entries that a worker keeps at most: states, pairs of tokens and ends of tokens; pieces of text.
+STATES, EDGES, KEPT = 200_000, 20_000, 500_000
+LONGEST = 48
 CHUNK = 512
 _NEVER = 1 << 62
 SCHEMA = "doc_id long, ids binary"
@@ -58,7 +61,8 @@ class Merges:
         #: Tokens that merging never makes of their own bytes; they stand for a whole piece only.
         self.unmade: dict[bytes, int] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int, bytes]]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        #: Whether b may follow a, by a * 2^32 + b, as far as it was asked.
+        self.follows: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.halves[rank] = None
@@ -81,34 +85,41 @@ class Merges:
                 known.append((at, used, self.bytes[at]))
                 used, at = at, halves[right]
             known.append((-1, used, self.bytes[at]))
+            if len(self._edges) > EDGES:
+                self._edges.clear()
             self._edges[token, right] = known
         return known
 
     def _meet(self, a: int, b: int, limit: int = _NEVER) -> bool:
         """Whether merges of a rank below ``limit`` leave the seam between ``a`` and ``b`` alone.
 
-        Two edge pieces are there at once if each is made before the other is used up.  Their own
-        merge comes first if its rank is below that of the merge using up the left one, and not
-        above that of the right one, which stands further right.
+        Walks back through the pairs of edge pieces that are there at once.  Their own merge comes
+        first if its rank is below that of the merge using up the left one, and not above that of
+        the right one, which stands further right.
         """
-        left, right = self._edge(a, True), self._edge(b, False)
-        for made, used, x in left:
-            for made_too, used_too, y in right:
-                if made < used_too and made_too < used:
-                    rank = self.ranks.get(x + y, _NEVER)
-                    if rank < limit and rank < used and rank <= used_too:
-                        return False
-        return True
+        left, right, find = self._edge(a, True), self._edge(b, False), self.ranks.get
+        i = j = 0
+        while True:
+            made, used, x = left[i]
+            made_too, used_too, y = right[j]
+            rank = find(x + y, _NEVER)
+            if rank < limit and rank < used and rank <= used_too:
+                return False
+            # Back in time: undo the later of the two merges.
+            if made > made_too:
+                i += 1
+            elif made_too >= 0:
+                j += 1
+            else:
+                return True
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging leaves ``a`` and ``b`` as they are where they are neighbours."""
-        if a < 0:
-            return True
-        known = self._follows.get((a, b))
+        known = self.follows.get(a << 32 | b)
         if known is None:
-            if len(self._follows) > STATES:
-                self._follows.clear()
-            known = self._follows[a, b] = self._meet(a, b)
+            if len(self.follows) > STATES:
+                self.follows.clear()
+            known = self.follows[a << 32 | b] = self._meet(a, b)
         return known
 
 
@@ -153,30 +164,35 @@ class Transducer:
 
     def _move(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         before, guesses = state
-        going, ended, trie = [], None, self.trie
+        going, ended, trie, follows = [], None, self.trie, self.merges.follows
         for tokens, node in guesses:
             below = trie[node].get(byte)
             if below is None:
                 continue
             child, token, more = below
-            if token >= 0 and ended is None and self.merges.may_follow(tokens[-1] if tokens else before, token):
-                ended = (*tokens, token)
+            if token >= 0 and ended is None:
+                last = tokens[-1] if tokens else before
+                if last < 0:
+                    ended = (*tokens, token)
+                else:
+                    follow = follows.get(last << 32 | token)
+                    if follow or follow is None and self.merges.may_follow(last, token):
+                        ended = (*tokens, token)
             if more:
                 going.append((tokens, child))
         if ended is None:
             raise ValueError("no way on: the vocabulary is not closed under merging")
         going.append((ended, 0))
+        if not going[0][0]:
+            # The longest guess starts right behind what was emitted last, which still matters.
+            return (before, tuple(going)), ()
         shared = min(len(tokens) for tokens, _ in going)
         while shared and any(tokens[:shared] != ended[:shared] for tokens, _ in going):
             shared -= 1
-        out = ended[:shared]
         if shared:
-            before = out[-1]
             going = [(tokens[shared:], node) for tokens, node in going]
-        # What was emitted last matters only to a guess that has no token of its own yet.
-        if all(tokens for tokens, _ in going):
-            before = -1
-        return (before, tuple(going)), out
+        out = ended[:shared]
+        return (out[-1] if out and not going[0][0] else -1, tuple(going)), out
 
     def feed(self, number: int, data: bytes, out: list[int]) -> int:
         """Read ``data`` in state ``number``, append what is emitted, return the state reached."""
@@ -362,22 +378,25 @@ class Decoder:
             yield "\ufffd"
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Merges:
+def ranked(path: str) -> dict[bytes, int]:
     """The ranks in a file of lines "base64 of the bytes, rank"."""
     with open(path, "rb") as lines:
         pairs = [line.split() for line in lines if line.strip()]
-    return Merges({base64.b64decode(token): int(rank) for token, rank in pairs})
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(vocabulary(path), pattern)
+    made = Encoder(Merges(ranked(path)), pattern)
+    # States are tuples that stay: looking for cycles in them only costs time.
+    gc.freeze()
+    gc.set_threshold(500_000)
+    return made
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
-    return Decoder(vocabulary(path).bytes)
+    return Decoder({rank: token for token, rank in ranked(path).items()})
 
 
 def _rows(function: Callable, schema: str) -> Callable:
@@ -414,6 +433,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(_rows(row, DECODED), DECODED)
 
 
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What :func:`decode` gives of :func:`encode`, in one pass through one worker."""
+    prepare(documents.sparkSession)
+
+    def row(doc, text):
+        ids = encoder(path, pattern)(text) if isinstance(text, str) else b""
+        return doc, ids, "".join(decoder(path)(np.frombuffer(ids, "<u4")))
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_rows(row, DECODED), DECODED)
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id",
@@ -428,5 +458,4 @@ def query(spark, folder):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    return digest(decode(ids, path))
+    return digest(round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -139,7 +140,7 @@ def test_negatives_of_odd_tables(vectors):
 
 @pytest.fixture(scope="module")
 def theirs():
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=transducer.vocabulary(RANKS).ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=transducer.ranked(RANKS), special_tokens={})
 
 
 @pytest.fixture(scope="module")
@@ -169,7 +170,7 @@ def test_transducer_equals_tiktoken(ours, theirs):
 def test_transducer_on_joined_tokens_that_starts_anew(theirs, monkeypatch):
     """Bytes of random tokens, which need not be text, with a machine that keeps few states."""
     monkeypatch.setattr(transducer, "STATES", 500)
-    merges = transducer.vocabulary(RANKS)
+    merges = transducer.Merges(transducer.ranked(RANKS))
     machine, rng, tokens = transducer.Transducer(merges), random.Random(4), list(merges.bytes.values())
     assert not merges.unmade
     for _ in range(3_000):
@@ -189,7 +190,7 @@ def test_tokens_that_merging_never_makes():
 
 
 def test_emission_waits_no_longer_than_the_longest_token():
-    merges = transducer.vocabulary(RANKS)
+    merges = transducer.Merges(transducer.ranked(RANKS))
     machine, longest = transducer.Transducer(merges), max(map(len, merges.ranks))
     data = (" understanding misunderstandings" * 40).encode()
     out, number = [], 0
@@ -209,7 +210,7 @@ def test_characters_are_classed_as_in_tiktoken():
 
 
 def test_streaming_decoder(theirs):
-    merges = transducer.vocabulary(RANKS)
+    merges = transducer.Merges(transducer.ranked(RANKS))
     decode, rng = transducer.decoder(RANKS), random.Random(6)
     for _ in range(2_000):  # ids of no text, cut anywhere
         ids = [rng.randrange(len(merges.ranks)) for _ in range(rng.randrange(40))]
@@ -232,4 +233,7 @@ def test_tokens_of_odd_tables(odd, none, theirs):
         return (-1 if doc is None else doc, len(ids), *digests)
 
     assert sorted((-1 if g.doc_id is None else g.doc_id, *g[1:]) for g in got) == sorted(row(r[0], r[1]) for r in rows)
+    both = transducer.digest(transducer.round_trip(frame, RANKS, public_tokenizers.PATTERN)).collect()
+    assert Counter(both) == Counter(got)
     assert transducer.encode(none, RANKS, public_tokenizers.PATTERN).collect() == []
+    assert transducer.round_trip(none, RANKS, public_tokenizers.PATTERN).collect() == []
