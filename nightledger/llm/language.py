@@ -10,8 +10,9 @@ shortest code for the whole text wins; the score is its share of 2 ** -bits.
 
 Training: texts are drawn in pieces of up to ``PIECE`` bytes, each by a hash of document and place,
 at the rate that brings a language to ``sample_bytes`` bytes on average (all of it where there is
-less), so a language of few long documents is drawn from as one of many short ones; a language
-of which nothing is drawn is an error.  Byte quadruples are counted in Spark, within pieces and
+less), so a language of few long documents is drawn from as one of many short ones.  Copies of a row
+are drawn together; a language of which that draws nothing gives its piece of smallest hash, so
+every language with a byte is learned.  Byte quadruples are counted in Spark, within pieces and
 with the three bytes before them; the driver gets the counts, of which there are fewer than the
 sample has bytes.  The table is bounded by ``model_bytes``: contexts of three bytes are kept by
 count until it is full.
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.llm.common import fold, prepare, table
@@ -175,25 +176,36 @@ def grow(counts: pd.DataFrame, model_bytes: int = MODEL_BYTES, symbols: int = SY
     return Trees(langs, symbol, state.reshape(-1), bits)
 
 
+def _by_language(values: dict[str, float]) -> Column:
+    """A number of the row's language, looked up: a join would shuffle all texts by language."""
+    return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("lang"))
+
+
 def train(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, model_bytes: int = MODEL_BYTES) -> Trees:
     """Trees for the languages of ``documents`` (doc_id, text, lang); rows without either are left out."""
     prepare(documents.sparkSession)
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    # One row per language; joining it instead would shuffle all texts by language.
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()
     if not sizes:
         return NOTHING
-    size = F.element_at(F.create_map(*[F.lit(v) for row in sizes for v in (row["lang"], float(row["b"]))]), F.col("lang"))
+    size = _by_language({row["lang"]: float(row["b"]) for row in sizes})
     last = F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / PIECE).cast("int")
     # The head of the text stands for it: all of it would be hashed again for every piece.
     turn = lambda i: F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text"), i), F.lit(1 << 30)) / float(1 << 30)
-    pieces = F.filter(F.sequence(F.lit(0), last), lambda i: turn(i) * size < float(sample_bytes))
-    sample = known.select("lang", "text", last.alias("last"), pieces.alias("pieces")).where(F.size("pieces") > 0)
-    counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()
-    missing = {row["lang"] for row in sizes if row["b"]} - set(rows["lang"])
+    numbers = F.sequence(F.lit(0), last)
+
+    def counted(texts: DataFrame, drawn) -> pd.DataFrame:
+        sample = texts.select("lang", "text", last.alias("last"), F.filter(numbers, drawn).alias("pieces")).where(F.size("pieces") > 0)
+        counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        return counts.toPandas()
+
+    rows = counted(known, lambda i: turn(i) * size < float(sample_bytes))
+    missing = sorted({row["lang"] for row in sizes if row["b"]} - set(rows["lang"]))
     if missing:
-        raise ValueError(f"nothing drawn of the languages {sorted(missing)}")
+        left = known.where(F.col("lang").isin(missing) & (F.octet_length("text") > 0))
+        least = left.groupBy("lang").agg(F.min(F.array_min(F.transform(numbers, turn))).alias("least")).collect()
+        bound = _by_language({row["lang"]: row["least"] for row in least})
+        rows = pd.concat([rows, counted(left, lambda i: turn(i) <= bound)], ignore_index=True)
     return grow(rows, model_bytes) if len(rows) else NOTHING
 
 

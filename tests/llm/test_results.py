@@ -257,6 +257,19 @@ def test_language_of_few_long_documents_is_learned(frame):
     assert {g.doc_id: g.lang_pred for g in language.identify(frame(counted), trees).collect()} == {0: "en", 1: "de", 2: "fr"}
 
 
+def test_language_of_one_repeated_document_is_learned(frame):
+    """Copies of a row are drawn together, or not at all; the language is learned in either case."""
+    rng = random.Random(11)
+    german, english = invented(rng, "de", 40), [(i, invented(rng, "en", 40), "en", "s") for i in range(50)]
+    for n, doc in enumerate([None, *range(1_000, 1_019)]):
+        rows = [(doc, german, "de", "s")] * (300 if n else 3_000) + english
+        trees = language.train(frame(rows), sample_bytes=5_000)
+        assert trees.langs == ["de", "en"]
+        if n < 2:
+            got = language.identify(frame(rows), trees).collect()
+            assert len(got) == len(rows) and {g.lang_pred for g in got if g.doc_id == doc} == {"de"}
+
+
 def test_all_of_a_small_language_is_counted(frame, monkeypatch):
     texts, seen = ["ein langer Text in Stücken, İ und ẞ " * 400, "", "kurz"], []
     monkeypatch.setattr(language, "grow", lambda counts, model_bytes: seen.append(counts))
