@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.catalog import Registry
+from nightledger.catalog import features as FQ
+from nightledger.config import CALENDAR_OWNED, GRAIN, SIGNAL_OWNED, TARGET
+from nightledger.functions.numeric import settled
+from nightledger.plans import features as P
 from nightledger.session import work_dir
 from nightledger.sources import warehouse as W
 from nightledger.streaming import envelope as E
 from nightledger.streaming import ingest as I
+from nightledger.streaming import tables as K
 
 QUERIES = Registry()
 
 
 def known_rooms(spark: SparkSession, folder: str) -> DataFrame:
-    """Rooms without the suites of one hotel, which makes some events unknown."""
-    return W.rooms(spark, folder).where("NOT (hotel_id = 'H0003' AND room_type = 'suite')")
+    """All rooms; the suites of one hotel go by another name, so events that name them are unknown."""
+    named = "CASE WHEN hotel_id = 'H0003' AND room_type = 'suite' THEN 'annex' ELSE room_type END"
+    return W.rooms(spark, folder).withColumn("room_type", F.expr(named))
 
 
 def booking_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +168,7 @@ def t6(spark, folder):
     return accepted.groupBy(handler.alias("handler")).agg(F.count("*").alias("n"))
 
 
-def ingested(spark: SparkSession, folder: str, deliveries: int = 1) -> str:
+def ingested(spark: SparkSession, folder: str, deliveries: int = 1, features=None) -> str:
     """Run the real stream over all messages; more deliveries send everything again."""
     source = work_dir(spark, "messages")
     wire(spark, folder).write.parquet(source)
@@ -174,6 +181,7 @@ def ingested(spark: SparkSession, folder: str, deliveries: int = 1) -> str:
             lambda: W.hotels(spark, folder),
             lambda: known_rooms(spark, folder),
             W.AS_OF,
+            features=features,
         ).awaitTermination()
     return tables
 
@@ -197,6 +205,22 @@ def t8(spark, folder):
     )
 
 
+@QUERIES.add("t8_stored_features")
+def t8b(spark, folder):
+    """Stored feature rows after a stream of signals, with derived columns as they were built."""
+    root = work_dir(spark, "feature-rows")
+    schema = K.create_features(P.feature_records(FQ.matrix(spark, folder)), root)
+    ingested(spark, folder, features=(root, schema))
+    return settled(
+        K.features(spark, root, schema).select(
+            *GRAIN, *SIGNAL_OWNED, *CALENDAR_OWNED, "booking_count", "competitor_count",
+            "occupancy_rate", "historical_demand", "competitor_rate", TARGET, "feature_version",
+        ),
+        occupancy_rate=9, historical_demand=9, competitor_rate=9, target_demand=9, search_demand=9,
+        weather_score=9, local_event_score=9,
+    )
+
+
 @QUERIES.add("t9_batch_counters")
 def t9(spark, folder):
     rows = spark.read.parquet(f"{ingested(spark, folder)}/counters")
@@ -234,8 +258,10 @@ def t12(spark, folder):
         E.check_payload(E.decode(I.message_stream(spark, source, 8)), W.AS_OF), "p.source", "poison"
     )
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # All counters each time; a reader sees those of one batch or the next.
+        before, label = K.snapshot(spark, out), f"batch-{batch_id}"
+        K.publish(spark, before, label, K.write_parts(batch, F.lit("all"), "source", out, label))
 
     (
         counts.writeStream.outputMode("complete")
@@ -245,7 +271,52 @@ def t12(spark, folder):
         .start()
         .awaitTermination()
     )
-    return spark.read.parquet(out)
+    return K.read(spark, out, counts.schema, K.snapshot(spark, out).parts)
+
+
+@QUERIES.add("t12_service_counters")
+def t12b(spark, folder):
+    """Observations by source, decisions by whether they were persisted, and guardrail hits."""
+    source, out = work_dir(spark, "served"), work_dir(spark, "counters")
+    k = "cast(event_id AS BIGINT)"
+    rows = W.competitor_prices(spark, folder).selectExpr(
+        f"CASE WHEN {k} % 4 <> 0 THEN competitor END AS source",
+        f"CASE WHEN {k} % 4 = 0 THEN {k} % 3 <> 0 END AS persisted",
+        f"CASE WHEN {k} % 4 = 0 THEN array_compact(array(CASE WHEN {k} % 5 = 0 THEN 'MAX_DAILY_RISE' END,"
+        f" CASE WHEN {k} % 7 = 0 THEN 'ROOM_FLOOR' END)) END AS rules",
+    )
+    rows.write.parquet(source)
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    I.count_on(events, out, work_dir(spark, "checkpoint")).awaitTermination()
+    return I.counters(spark, out)
+
+
+def _faulty():
+    """Makes connections that take most messages: some at the second try, some never."""
+
+    def connect():
+        tried = set()
+
+        def send(key: str | None, value: str) -> None:
+            k = int(json.loads(value)["event_id"])
+            if k % 17 == 0 or k % 5 == 0 and k not in tried:
+                tried.add(k)
+                raise ConnectionError("refused")
+
+        return send
+
+    return connect
+
+
+@QUERIES.add("t11_send_outcomes")
+def t11b(spark, folder):
+    """What became of each rate's message over a faulty connection; some have no value."""
+    source, out = work_dir(spark, "outbox"), work_dir(spark, "outcomes")
+    k = "cast(get_json_object(value, '$.event_id') AS BIGINT)"
+    messages = rate_messages(spark, folder).withColumn("value", F.expr(f"CASE WHEN {k} % 11 <> 0 THEN value END"))
+    messages.write.parquet(source)
+    I.send_all(I.message_stream(spark, source, 8), out, work_dir(spark, "checkpoint"), _faulty(), attempts=2).awaitTermination()
+    return spark.read.schema(I.SENT).parquet(out).groupBy("key", "outcome", "error").agg(F.count("*").alias("n"))
 
 
 @QUERIES.add("t7_stream_deduplication")

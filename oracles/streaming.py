@@ -96,6 +96,61 @@ GROUP BY hotel_id, room_type, check_in_date
     "rates",
     "hotels",
 )
+cte(
+    "last_signals",
+    f"""
+SELECT hotel_id, room_type, check_in_date AS stay_date, max(k) % 10 / 10.0::DOUBLE AS search_demand,
+       max(k) % 7 / 10.0::DOUBLE AS weather_score, max(k) % 5 / 10.0::DOUBLE AS local_event_score,
+       {season('check_in_date')} AS season, (isodow(check_in_date) - 1)::INT AS day_of_week,
+       isodow(check_in_date) >= 6 AS is_weekend
+FROM (SELECT *, event_id::BIGINT AS k FROM rates)
+WHERE hotel_id IN (SELECT hotel_id FROM hotels) AND NOT (hotel_id = 'H0003' AND room_type = 'suite')
+GROUP BY hotel_id, room_type, check_in_date
+""",
+    "rates",
+    "hotels",
+)
+SQL["t8_stored_features"] = compose(
+    """
+SELECT hotel_id, room_type, stay_date,
+  round(CASE WHEN s.season IS NULL THEN m.local_event_score ELSE s.local_event_score END, 9) AS local_event_score,
+  round(CASE WHEN s.season IS NULL THEN m.weather_score ELSE s.weather_score END, 9) AS weather_score,
+  round(CASE WHEN s.season IS NULL THEN m.search_demand ELSE s.search_demand END, 9) AS search_demand,
+  CASE WHEN s.season IS NULL THEN m.holiday_flag = 1 ELSE false END AS holiday_flag,
+  CASE WHEN s.season IS NULL THEN m.holiday_name END AS holiday_name,
+  CASE WHEN m.season IS NULL THEN s.day_of_week::BIGINT ELSE round_even(m.day_of_week, 0)::BIGINT END AS day_of_week,
+  CASE WHEN m.season IS NULL THEN s.is_weekend ELSE m.is_weekend = 1 END AS is_weekend,
+  coalesce(m.season, s.season) AS season,
+  round_even(m.booking_count, 0)::BIGINT AS booking_count,
+  round_even(m.competitor_count, 0)::BIGINT AS competitor_count,
+  round(m.occupancy_rate, 9) AS occupancy_rate, round(m.historical_demand, 9) AS historical_demand,
+  round(m.competitor_rate, 9) AS competitor_rate, round(m.target_demand, 9) AS target_demand,
+  CASE WHEN m.season IS NOT NULL THEN 'v1' END AS feature_version
+FROM matrix m FULL OUTER JOIN last_signals s USING (hotel_id, room_type, stay_date)
+""",
+    "matrix",
+    "last_signals",
+)
+SQL["t12_service_counters"] = compose(
+    """
+, served AS (SELECT competitor, event_id::BIGINT AS k FROM rates)
+SELECT 'observations' AS counter, competitor AS label, count(*) AS n FROM served WHERE k % 4 <> 0 GROUP BY 2
+UNION ALL SELECT 'decisions', (k % 3 <> 0)::VARCHAR, count(*) FROM served WHERE k % 4 = 0 GROUP BY 2
+UNION ALL SELECT 'guardrail_hits', 'MAX_DAILY_RISE', count(*) FROM served WHERE k % 20 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'guardrail_hits', 'ROOM_FLOOR', count(*) FROM served WHERE k % 28 = 0 HAVING count(*) > 0
+""",
+    "rates",
+)
+SQL["t11_send_outcomes"] = compose(
+    """
+SELECT hotel_id AS key, outcome,
+  CASE outcome WHEN 'dropped' THEN 'no value' WHEN 'failed' THEN 'ConnectionError: refused' END AS error, count(*) AS n
+FROM (SELECT hotel_id, CASE WHEN event_id::BIGINT % 11 = 0 THEN 'dropped'
+        WHEN event_id::BIGINT % 17 = 0 THEN 'failed' ELSE 'sent' END AS outcome FROM rates)
+GROUP BY 1, 2
+""",
+    "rates",
+)
 SQL["t9_batch_counters"] = compose(
     """
 , ok AS (SELECT * FROM judged WHERE poison IS NULL AND rejected IS NULL)
