@@ -17,6 +17,7 @@ from nightledger.operators import analytics as A
 from nightledger.operators import demand as D
 from nightledger.operators import forecast as S
 from nightledger.operators import metrics as E
+from nightledger.plans import model_store as MS
 from nightledger.plans import pricing as PP
 from nightledger.plans import training as T
 from nightledger.session import work_dir
@@ -227,7 +228,7 @@ def m5b(spark, folder):
 def _trained(spark, folder):
     matrix = files.write_and_read(FQ.matrix(spark, folder), "matrix")
     train, test = T.chronological_split(matrix, BOOST_CONFIG)
-    return T.fit_boosted(train, BOOST_CONFIG), train, test
+    return MS.stored_boosted(train, BOOST_CONFIG, fit=T.fit_boosted), train, test
 
 
 @QUERIES.add("m6_boosted_predictions")
@@ -271,6 +272,62 @@ def m14(spark, folder):
     return files.read_json(spark, path, record.schema)
 
 
+@QUERIES.add("m14_training_steps")
+def m14b(spark, folder):
+    """Two runs over the same split: what became of each step, one of which always fails."""
+    train, test = T.chronological_split(files.write_and_read(FQ.matrix(spark, folder), "matrix"), BOOST_CONFIG)
+
+    def mean(train: DataFrame, test: DataFrame) -> DataFrame:
+        level = train.agg(F.avg(TARGET)).scalar()
+        error = F.avg(F.abs(F.col(TARGET) - F.col("level")))
+        return test.withColumn("level", level).agg(F.round(error, 6).alias("mae"), F.count(TARGET).alias("n"))
+
+    def history(train: DataFrame, test: DataFrame) -> DataFrame:
+        error = F.avg(F.abs(F.col(TARGET) - F.col("historical_demand")))
+        return test.agg(F.round(error, 6).alias("mae"), F.count(TARGET).alias("n"))
+
+    def broken(train: DataFrame, test: DataFrame) -> DataFrame:
+        raise ValueError("no such model")
+
+    root = work_dir(spark, "training-runs")
+    steps = [MS.Step("mean", mean), MS.Step("broken", broken), MS.Step("history", history)]
+    for chosen in (steps, steps[1:]):
+        record = MS.run_steps(train, test, chosen, root)
+    return MS.records(spark, root, record.schema).selectExpr(
+        "version", "step", "succeeded", "error", "figures['mae'] AS mae", "cast(figures['n'] AS BIGINT) AS scored_rows",
+        "n_train", "train_start", "train_end", "n_test", "test_start", "test_end",
+    )
+
+
+@QUERIES.add("m6_prediction_rows")
+def m6b(spark, folder):
+    """What can be said of every prediction without knowing it: rows, windows, floor and skill."""
+    model, _, test = _trained(spark, folder)
+    out = T.predict_boosted(model, test)
+    error = F.abs(F.col(TARGET) - F.col("boosted"))
+    return out.groupBy("hotel_id", "room_type").agg(
+        F.count("*").alias("n"),
+        F.min("stay_date").alias("first_night"),
+        F.max("stay_date").alias("last_night"),
+        F.count_if(F.col("boosted") < 0).alias("below_zero"),
+        F.count_if(F.col("boosted").isNull() | F.isnan("boosted") | error.isNull()).alias("missing"),
+    )
+
+
+@QUERIES.add("m11_importance_shares")
+def m11b(spark, folder):
+    """Every feature once, with importances that are shares of one."""
+    model, _, _ = _trained(spark, folder)
+    shares = T.impurity_importance(spark, model)
+    return shares.agg(
+        F.count("*").alias("features"),
+        F.count_distinct("feature").alias("different"),
+        F.round(F.sum("importance"), 9).alias("total"),
+        F.count_if((F.col("importance") < 0) | (F.col("importance") > 1)).alias("outside"),
+        F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("feature"))), 256).alias("names"),
+    )
+
+
 @QUERIES.add("s10_model_catalogue")
 def s10(spark, folder):
     """Reports of several versions written as JSON, listed in numeric order of version."""
@@ -294,10 +351,14 @@ def s10(spark, folder):
 def p14b(spark, folder):
     """The batch reprice with both models: series forecast and regressor, fitted on past nights."""
     matrix = files.write_and_read(FQ.matrix(spark, folder), "matrix")
+    # The last known nights are held out: their residuals, which the fit has not seen, give the band.
     known = matrix.where(F.col("stay_date") < F.lit(W.AS_OF))
-    model = T.fit_boosted(known, BOOST_CONFIG)
-    # One residual deviation, taken from the nights that were known.
-    spread = T.predict_boosted(model, known).agg(
+    cutoff = T.split_cutoff(known, BOOST_CONFIG.test_days)
+    train, held = known.where(F.col("stay_date") <= cutoff), known.where(F.col("stay_date") > cutoff)
+    if train.isEmpty():
+        train, held = known, known.limit(0)  # too short a history to hold nights out: no band
+    model = MS.stored_boosted(train, BOOST_CONFIG, fit=T.fit_boosted)
+    spread = T.predict_boosted(model, held).agg(
         F.stddev_pop(F.col(TARGET) - F.col("boosted")).alias("residual_std")
     )
     boosted = T.predict_boosted(model, matrix).select(*GRAIN, "boosted").join(F.broadcast(spread))

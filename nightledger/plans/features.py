@@ -243,16 +243,17 @@ def feature_catalogue(spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, feature_group string")
 
 
-def fingerprint(matrix: DataFrame) -> DataFrame:
-    """One row that changes when any feature or target value changes.
+def fingerprint(matrix: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row that changes when any feature or target value (or any of ``columns``) changes.
 
     Row hashes are added up, so the result does not depend on the order of the rows and
     needs no sort.
     """
-    columns = [*GRAIN, *FEATURES, TARGET]
+    columns = [*GRAIN, *FEATURES, TARGET] if columns is None else columns
     # Whole millionths as text, so that any engine gets the same hash.
-    shown = [F.col(c).cast("string") for c in GRAIN] + [
-        F.round(F.col(c) * 1e6).cast("bigint").cast("string") for c in (*FEATURES, TARGET)
+    shown = [
+        F.col(c).cast("string") if c in GRAIN else F.round(F.col(c) * 1e6).cast("bigint").cast("string")
+        for c in columns
     ]
     text = F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in shown])
     row = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")

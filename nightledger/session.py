@@ -60,8 +60,8 @@ def _local_root() -> str:
     return root
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for tables and streaming checkpoints a job writes.
+def work_root(spark: SparkSession) -> str:
+    """The folder for tables and streaming checkpoints that jobs write.
 
     On a cluster it lies below ``spark.checkpoint.dir``, which every executor can read,
     so a lost executor loses nothing.  A temporary folder is used only where that
@@ -74,4 +74,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return root
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below :func:`work_root`."""
+    return os.path.join(work_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -1,6 +1,7 @@
 """Statements of the model family."""
 
 import oracles.pricing  # noqa: F401  (registers the stored-feature CTEs)
+from nightledger.config import FEATURES
 from oracles.base import compose, cte
 from oracles.forecast_ctes import forecast, register
 
@@ -221,3 +222,41 @@ FROM (SELECT hotel_id, room_type, date_diff('day', min(ds), max(ds)) + 1 AS days
 """,
     "series",
 )
+cte(
+    "sides",
+    """SELECT *, stay_date > (SELECT max(stay_date) - 60 FROM matrix) AS held FROM matrix""",
+    "matrix",
+)
+SQL["m14_training_steps"] = compose(
+    """
+, w AS (
+  SELECT count(*) FILTER (NOT held) AS n_train, min(stay_date) FILTER (NOT held) AS train_start,
+         max(stay_date) FILTER (NOT held) AS train_end, count(*) FILTER (held) AS n_test,
+         min(stay_date) FILTER (held) AS test_start, max(stay_date) FILTER (held) AS test_end,
+         avg(target_demand) FILTER (NOT held) AS level
+  FROM sides),
+f AS (
+  SELECT round(avg(abs(target_demand - level)), 6) AS mean, round(avg(abs(target_demand - historical_demand)), 6) AS history,
+         count(target_demand) AS n
+  FROM sides, w WHERE held),
+runs AS (SELECT * FROM (VALUES ('v1', 'mean'), ('v1', 'broken'), ('v1', 'history'), ('v2', 'broken'), ('v2', 'history')) AS r(version, step))
+SELECT version, step, step <> 'broken' AS succeeded, CASE WHEN step = 'broken' THEN 'ValueError: no such model' END AS error,
+       CASE step WHEN 'mean' THEN mean WHEN 'history' THEN history END AS mae, CASE WHEN step <> 'broken' THEN n END AS scored_rows,
+       n_train, train_start, train_end, n_test, test_start, test_end
+FROM runs, w, f
+""",
+    "sides",
+)
+SQL["m6_prediction_rows"] = compose(
+    """
+SELECT hotel_id, room_type, count(*) AS n, min(stay_date) AS first_night, max(stay_date) AS last_night,
+       0::BIGINT AS below_zero, count(*) FILTER (target_demand IS NULL) AS missing
+FROM sides WHERE held GROUP BY 1, 2
+""",
+    "sides",
+)
+_NAMES = ", ".join(f"'{f}'" for f in FEATURES)
+SQL["m11_importance_shares"] = f"""
+SELECT {len(FEATURES)}::BIGINT AS features, {len(FEATURES)}::BIGINT AS different, 1.0::DOUBLE AS total, 0::BIGINT AS outside,
+       sha256(array_to_string(list_sort([{_NAMES}]), ',')) AS names
+"""
