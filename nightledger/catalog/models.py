@@ -86,6 +86,29 @@ def m1(spark, folder):
     )
 
 
+def two_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Models of the series preceded by themselves, 400 days earlier and a tenth lower."""
+    rows = series(spark, folder)
+    earlier = rows.withColumns({"ds": F.date_sub("ds", 400), "y": F.col("y") * 0.9})
+    return S.fit(S.fill_gaps(rows.unionByName(earlier)))
+
+
+@QUERIES.add("m1_two_year_terms")
+def m1b(spark, folder):
+    """Month and holiday factors of series with two years of history."""
+    months = ", ".join(f"struct('month' AS kind, '{m}' AS term, month_{m} AS factor)" for m in range(1, 13))
+    festive = "transform(map_entries(holiday_factors), e -> struct('holiday' AS kind, e.key AS term, e.value AS factor))"
+    out = two_years(spark, folder).select(*ROOM_KEY, "n_observations", F.expr(f"explode(concat(array({months}), {festive})) AS f"))
+    return settled(out.select(*ROOM_KEY, "n_observations", "f.*").where("factor IS NOT NULL"), factor=9)
+
+
+@QUERIES.add("m1_two_year_forecast")
+def m1c(spark, folder):
+    """Two months over the turn of the year, from two years of history."""
+    out = S.forecast_range(two_years(spark, folder), date(2025, 12, 10), 60).drop("trend")
+    return settled(out, **BAND)
+
+
 @QUERIES.add("m2_nested_horizons")
 def m2(spark, folder):
     out = S.nested_horizons(S.forecast_next(fitted(spark, folder), 30)).drop("trend")

@@ -194,6 +194,27 @@ def d18(spark, folder):
     return settled(O.model_report(rounded, rows, rows, W.AS_OF), value=4)
 
 
+def _health(spark, folder) -> DataFrame:
+    rounded = settled(
+        stored(spark, folder),
+        occupancy_rate=6, competitor_rate=6, historical_demand=6, current_room_price=6, lead_time=6,
+    )
+    return O.model_health(rounded, audit(spark, folder), W.AS_OF)
+
+
+@QUERIES.add("d18_model_health")
+def d18b(spark, folder):
+    """The whole report: checks, drift, statistics, guardrail hits and realised accuracy."""
+    # Accuracy is settled as d17 shows it first.
+    digits = F.expr("CASE WHEN section <> 'accuracy' THEN value WHEN name LIKE '%mape' THEN round(value, 5) ELSE round(value, 6) END")
+    return settled(_health(spark, folder).withColumn("value", digits), value=4)
+
+
+@QUERIES.add("d18_health_severity")
+def d18c(spark, folder):
+    return O.health_severity(_health(spark, folder))
+
+
 @QUERIES.add("j6_hotels_without_rooms")
 def j6(spark, folder):
     rooms = W.rooms(spark, folder).select("hotel_id")

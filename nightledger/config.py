@@ -171,6 +171,7 @@ class ForecastConfig:
     min_training_days: int = 90
     min_days_for_yearly: int = 730
     min_days_for_holidays: int = 730
+    yearly_prior_scale: float = 10.0
     interval_width: float = 0.80
     capacity_headroom: float = 1.15
     min_capacity: float = 0.1

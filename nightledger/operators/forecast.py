@@ -59,6 +59,26 @@ def fill_gaps(series: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     )
 
 
+def holiday_term(day: str) -> F.Column:
+    """The holiday a day belongs to, as a struct of ``term`` and ``scale``, or null.
+
+    A day is part of its own holiday, else of the one it is the eve of, else of the one it
+    follows; each place is a term of its own.  ``scale`` is how far its factor may move.
+    """
+    places = ((0, day), (-1, f"date_add({day}, 1)"), (1, f"date_sub({day}, 1)"))
+    found = [
+        F.when(
+            holiday_on(at).isNotNull(),
+            F.struct(
+                F.concat(holiday_on(at)["holiday_name"], F.lit(f"|{place}")).alias("term"),
+                F.greatest(F.lit(1.0), F.lit(10.0) * holiday_on(at)["significance"]).alias("scale"),
+            ),
+        )
+        for place, at in places
+    ]
+    return F.coalesce(*found)
+
+
 def fit(
     filled: DataFrame, keys: list[str] = SERIES, config: ForecastConfig = FORECAST_CONFIG
 ) -> DataFrame:
@@ -66,20 +86,27 @@ def fit(
 
     demand = trend x weekday x month x holiday.  Month and holiday factors stay at one
     until there are two years to learn them from: with less, each is a single
-    observation.  The band is the pair of residual quantiles around the fit.
+    observation.  They are ridge estimates around one: of the factors of a group of terms no
+    two share a day, so the Gram matrix of a group is diagonal, a grouped sum per term, and a
+    factor is ``(sum(y * x) + w) / (sum(x * x) + w)`` for ``w = 1 / scale ** 2``, where x is the
+    fit without it.  A holiday has a term for its eve and for the day after it too.  The band
+    is the pair of residual quantiles around the fit.
     """
     whole = Window.partitionBy(*keys)
     weekday = Window.partitionBy(*keys, "weekday")
     month = Window.partitionBy(*keys, "month")
-    holiday = Window.partitionBy(*keys, "holiday_name")
+    holiday = Window.partitionBy(*keys, "term")
 
     def factor(parts: str, window) -> F.Column:
         top, bottom = F.sum("y").over(window), F.sum(F.expr(parts)).over(window)
         return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0))
 
+    def ridge(x: str, window, scale: F.Column) -> F.Column:
+        weight = F.lit(1.0) / (scale * scale)
+        return (F.sum(F.expr(f"y * {x}")).over(window) + weight) / (F.sum(F.expr(f"{x} * {x}")).over(window) + weight)
+
     frame = (
-        filled.withColumn("holiday_name", holiday_on("ds")["holiday_name"])
-        .withColumns(
+        filled.withColumns(
             {
                 "t": F.expr(f"cast(datediff(ds, {_ORIGIN}) AS DOUBLE)"),
                 "weekday": F.expr("weekday(ds)"),
@@ -97,17 +124,21 @@ def fit(
         .where(F.col("n") >= config.min_training_days)
         .withColumn("trend", F.expr("intercept + slope * t"))
         .withColumn("weekly", factor("trend", weekday))
+        # Looked up only where there are enough days to use it.
+        .withColumn("_holiday", F.when(F.col("n") >= config.min_days_for_holidays, holiday_term("ds")))
+        .withColumns({"term": F.col("_holiday.term"), "scale": F.col("_holiday.scale")})
         .withColumn(
             "yearly",
             F.when(
-                F.col("n") >= config.min_days_for_yearly, factor("trend * weekly", month)
+                F.col("n") >= config.min_days_for_yearly,
+                ridge("(trend * weekly)", month, F.lit(config.yearly_prior_scale)),
             ).otherwise(F.lit(1.0)),
         )
         .withColumn(
             "festive",
             F.when(
-                (F.col("n") >= config.min_days_for_holidays) & F.col("holiday_name").isNotNull(),
-                factor("trend * weekly * yearly", holiday),
+                F.col("term").isNotNull(),
+                ridge("(trend * weekly * yearly)", holiday, F.max("scale").over(holiday)),
             ).otherwise(F.lit(1.0)),
         )
         .withColumn("residual", F.expr("y - trend * weekly * yearly * festive"))
@@ -131,8 +162,7 @@ def fit(
             for m in range(1, 13)
         ],
         F.expr(
-            "map_from_entries(collect_set(CASE WHEN holiday_name IS NOT NULL"
-            " THEN struct(holiday_name, festive) END))"
+            "map_from_entries(collect_set(CASE WHEN term IS NOT NULL THEN struct(term, festive) END))"
         ).alias("holiday_factors"),
         F.percentile("residual", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("band"),
         F.max(F.expr("n >= " + str(config.min_days_for_yearly))).alias("yearly_enabled"),
@@ -144,7 +174,7 @@ def predict(dated: DataFrame) -> DataFrame:
     weekday = ", ".join(f"weekday_{d}" for d in range(7))
     month = ", ".join(f"month_{m}" for m in range(1, 13))
     return (
-        dated.withColumn("_festival", holiday_on("ds")["holiday_name"])
+        dated.withColumn("_festival", F.when(F.size("holiday_factors") > 0, holiday_term("ds")["term"]))
         .withColumn("trend", F.expr(f"intercept + slope * datediff(ds, {_ORIGIN})"))
         .withColumn(
             "_centre",

@@ -489,3 +489,68 @@ def model_report(
             drift,
         ]
     )
+
+
+def _figures(row: DataFrame, section: str) -> DataFrame:
+    """A one-row frame as rows (section, name, value); what is null stays out."""
+    numbers = row.select(*[F.col(c).cast("double").alias(c) for c in row.columns])
+    return numbers.unpivot([], numbers.columns, "name", "value").select(F.lit(section).alias("section"), "name", "value")
+
+
+def guardrail_counts(audit: DataFrame, as_of: date, config: MonitorConfig = MONITOR_CONFIG) -> DataFrame:
+    """How often each guardrail changed a price of the health window."""
+    rules = in_window(audit, as_of, config.health_hours).select(F.explode("guardrails_applied").alias("rule"))
+    return rules.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def model_health(
+    stored: DataFrame, audit: DataFrame, as_of: date, config: MonitorConfig = MONITOR_CONFIG
+) -> DataFrame:
+    """The whole model report as rows: section, name, value, severity.
+
+    Sections: ``check`` and ``drift`` carry a severity; ``prediction``, ``price`` and ``accuracy``
+    are the figures behind them, ``guardrail`` the hits of each rule.  Too few completed nights
+    give no accuracy; the caveat on seasons stands only beside drift.  Both tables are written once
+    and read from there; the figures are one row each, so the checks cost no further scan.
+    """
+    needed = (
+        "hotel_id", "room_type", "check_in_date", "created_at", "blended_demand", "confidence", "latency_ms",
+        "final_recommended_price", "price_change_percent", "guardrails_applied",
+    )
+    served = write_and_read(audit.select(*needed), "served")
+    kept = write_and_read(stored, "stored")
+    predictions = write_and_read(prediction_stats(served, as_of, config), "prediction-figures")
+    prices = write_and_read(price_stats(served, as_of, config), "price-figures")
+    accuracy = realised_accuracy(served.select(*needed[:3], "blended_demand"), kept, as_of, config)
+    drift = write_and_read(feature_drift(kept, as_of), "drift")
+    checks = union_checks(
+        [
+            prediction_checks(predictions, config),
+            price_checks(prices, config),
+            # A caveat on nothing would only confuse.
+            seasonality_caveat(kept, config).join(F.broadcast(drift.select("feature").limit(1)), how="cross").drop("feature"),
+        ]
+    )
+    judged = [
+        checks.select(F.lit("check").alias("section"), F.col("check_name").alias("name"), F.col("value").cast("double").alias("value"), "severity"),
+        drift.select(F.lit("drift").alias("section"), F.col("feature").alias("name"), F.col("psi").alias("value"), "severity"),
+    ]
+    counts = guardrail_counts(served, as_of, config)
+    plain = [
+        _figures(predictions, "prediction"),
+        _figures(prices, "price"),
+        _figures(accuracy, "accuracy"),
+        counts.select(F.lit("guardrail").alias("section"), F.col("rule").alias("name"), F.col("n").cast("double").alias("value")),
+    ]
+    return union_checks([*judged, *[p.withColumn("severity", F.lit(None).cast("string")) for p in plain]])
+
+
+def health_severity(health: DataFrame) -> DataFrame:
+    """The worst severity of a model report, and how many features drift and checks fail."""
+    failing = F.col("severity") != "ok"
+    return health.where("severity IS NOT NULL").agg(
+        F.max(F.expr(RANK)).alias("rank"),
+        F.count_if(failing & (F.col("section") == "drift")).alias("drifting"),
+        F.count_if(F.col("section") == "drift").alias("watched"),
+        F.count_if(failing & (F.col("section") == "check")).alias("failing"),
+    ).selectExpr("element_at(array('ok', 'warning', 'critical'), rank + 1) AS severity", "drifting", "watched", "failing")

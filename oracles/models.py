@@ -3,7 +3,7 @@
 import oracles.pricing  # noqa: F401  (registers the stored-feature CTEs)
 from nightledger.config import FEATURES
 from oracles.base import compose, cte
-from oracles.forecast_ctes import forecast, register
+from oracles.forecast_ctes import forecast, register, register_filled
 
 SQL: dict[str, str] = {}
 GRAIN = "hotel_id, room_type, stay_date"
@@ -260,3 +260,95 @@ SQL["m11_importance_shares"] = f"""
 SELECT {len(FEATURES)}::BIGINT AS features, {len(FEATURES)}::BIGINT AS different, 1.0::DOUBLE AS total, 0::BIGINT AS outside,
        sha256(array_to_string(list_sort([{_NAMES}]), ',')) AS names
 """
+
+# --- two years of history ---------------------------------------------------------------------
+
+cte(
+    "two_years",
+    f"SELECT {ROOM}, ds, y FROM series UNION ALL SELECT {ROOM}, (ds - 400)::DATE, y * 0.9::DOUBLE FROM series",
+    "series",
+)
+register_filled("two_years", "longer")
+register("longer", ROOM)
+cte(
+    "day_terms",
+    """
+SELECT d.day, CASE WHEN h.name IS NOT NULL THEN h.name || '|0' WHEN e.name IS NOT NULL THEN e.name || '|-1'
+                   WHEN a.name IS NOT NULL THEN a.name || '|1' END AS term,
+       greatest(1, 10 * coalesce(h.sig, e.sig, a.sig)) AS scale
+FROM days d LEFT JOIN holidays h ON h.day = d.day LEFT JOIN holidays e ON e.day = d.day + 1
+  LEFT JOIN holidays a ON a.day = d.day - 1
+""",
+    "days",
+    "holidays",
+)
+cte(
+    "longer_base",
+    f"""
+SELECT {ROOM}, ds, y, n, month(ds) AS m, term, scale,
+       (intercept + slope * date_diff('day', DATE '2020-01-01', ds)) * weekly AS base
+FROM (SELECT *, isodow(ds) AS wd FROM longer) JOIN longer_trend USING ({ROOM}) JOIN longer_weekly USING ({ROOM}, wd)
+  JOIN day_terms ON day = ds
+""",
+    "longer",
+    "longer_trend",
+    "longer_weekly",
+    "day_terms",
+)
+cte(
+    "longer_months",
+    f"""
+SELECT {ROOM}, m, (sum(y * base) + 0.01::DOUBLE) / (sum(base * base) + 0.01::DOUBLE) AS yearly
+FROM longer_base WHERE n >= 730 GROUP BY {ROOM}, m
+""",
+    "longer_base",
+)
+cte(
+    "longer_festive",
+    f"""
+SELECT {ROOM}, term, (sum(y * x) + max(w)) / (sum(x * x) + max(w)) AS festive
+FROM (SELECT b.*, base * yearly AS x, 1 / pow(max(scale) OVER (PARTITION BY {ROOM}, term), 2) AS w
+      FROM longer_base b JOIN longer_months USING ({ROOM}, m) WHERE term IS NOT NULL)
+GROUP BY {ROOM}, term
+""",
+    "longer_base",
+    "longer_months",
+)
+SQL["m1_two_year_terms"] = compose(
+    f"""
+SELECT {ROOM}, n AS n_observations, kind, term, round(factor, 9) AS factor
+FROM (SELECT {ROOM}, 'month' AS kind, m::VARCHAR AS term, yearly AS factor FROM longer_months
+      UNION ALL SELECT {ROOM}, 'holiday', term, festive FROM longer_festive) JOIN longer_trend USING ({ROOM})
+""",
+    "longer_months",
+    "longer_festive",
+    "longer_trend",
+)
+_CENTRE = """(intercept + slope * date_diff('day', DATE '2020-01-01', ds)) * coalesce(weekly, 1) * coalesce(yearly, 1)
+  * coalesce(festive, 1)"""
+SQL["m1_two_year_forecast"] = compose(
+    f"""
+, q AS (
+  SELECT {ROOM}, quantile_cont(r, 0.1) AS low, quantile_cont(r, 0.9) AS high
+  FROM (SELECT {ROOM}, y - base * coalesce(yearly, 1) * coalesce(festive, 1) AS r FROM longer_base
+        LEFT JOIN longer_months USING ({ROOM}, m) LEFT JOIN longer_festive USING ({ROOM}, term))
+  GROUP BY {ROOM}),
+c AS (
+  SELECT {ROOM}, ds, capacity, low, high, {_CENTRE} AS centre
+  FROM longer_trend JOIN q USING ({ROOM}) CROSS JOIN
+       (SELECT day AS ds, isodow(day) AS wd, month(day) AS m, term FROM day_terms
+        WHERE day BETWEEN DATE '2025-12-10' AND DATE '2026-02-07')
+  LEFT JOIN longer_weekly USING ({ROOM}, wd) LEFT JOIN longer_months USING ({ROOM}, m)
+  LEFT JOIN longer_festive USING ({ROOM}, term))
+SELECT {ROOM}, ds, round(greatest(0, least(capacity, centre)), 6) AS forecast,
+       round(greatest(0, least(capacity, centre + low)), 6) AS forecast_lower,
+       round(greatest(0, least(capacity, centre + high)), 6) AS forecast_upper
+FROM c
+""",
+    "longer_trend",
+    "longer_weekly",
+    "longer_months",
+    "longer_festive",
+    "longer_base",
+    "day_terms",
+)

@@ -280,6 +280,44 @@ SQL["d18_model_report"] = compose(
     "watched",
     "drift_long",
 )
+
+
+def _spread(relation: str, section: str, columns: str) -> str:
+    """One row as rows of figures; nulls are kept."""
+    names = [c.strip() for c in columns.split(",")]
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, '{c}' AS name, round({c}::DOUBLE, 4) AS value, NULL::VARCHAR AS severity FROM {relation}"
+        for c in names
+    )
+
+
+_SCORES = "n, mae, rmse, mape, smape, weighted_mape, r2, bias, mape_coverage"
+cte("realised", f"SELECT {metrics('target_demand', 'blended_demand')} FROM outcomes WHERE blended_demand IS NOT NULL", "outcomes")
+_HEALTH = " UNION ALL ".join(
+    [
+        f"SELECT 'check' AS section, check_name AS name, round(value, 4) AS value, severity FROM ({_PREDICTION} UNION ALL {_PRICE} UNION ALL {_CAVEAT})",
+        f"SELECT 'drift', feature, round(psi, 4), {_SEVERITY} FROM ({psi('drift_long')})",
+        _spread("prediction_stats", "prediction",
+                "n, known, demand_mean, demand_std, demand_min, demand_max, confidence_mean, latency_p95_ms, outlier_share"),
+        _spread("price_stats", "price",
+                "n, price_mean, price_min, price_max, clamped_share, mean_change_percent, pinned_share"),
+        _spread("realised WHERE n >= 50", "accuracy", _SCORES),
+        "SELECT 'guardrail', rule, count(*)::DOUBLE, NULL FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM newest"
+        " WHERE rules <> '') GROUP BY 2",
+    ]
+)
+_HEALTH_NEEDS = ("prediction_stats", "price_stats", "watched", "drift_long", "newest", "realised")
+SQL["d18_model_health"] = compose(_HEALTH, *_HEALTH_NEEDS)
+SQL["d18_health_severity"] = compose(
+    f"""
+SELECT CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical'
+         WHEN 1 THEN 'warning' ELSE 'ok' END AS severity,
+       count(*) FILTER (section = 'drift' AND severity <> 'ok') AS drifting, count(*) FILTER (section = 'drift') AS watched,
+       count(*) FILTER (section = 'check' AND severity <> 'ok') AS failing
+FROM ({_HEALTH}) WHERE severity IS NOT NULL
+""",
+    *_HEALTH_NEEDS,
+)
 SQL["j6_hotels_without_rooms"] = compose(
     "SELECT hotel_id, city FROM hotels WHERE hotel_id NOT IN (SELECT hotel_id FROM rooms)",
     "hotels",
