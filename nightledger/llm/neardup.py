@@ -292,6 +292,23 @@ def one_of_each(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return named.unionByName(documents.where("doc_id IS NULL"))
 
 
+def without_copies(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each group of near-duplicates, with its own columns.
+
+    A row is told by its id or, where an id repeats or is missing, by id and text: different texts
+    under one id are different documents, and copies without an id go like any others.  Texts
+    without words are linked with nothing and stay, but rows equal in id and text count once.
+    """
+    many = documents.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 AND doc_id IS NOT NULL")
+    marked = documents.join(many, "doc_id", "left")
+    told = F.col("doc_id").isNotNull() & F.col("_rows").isNull()
+    by_text = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    marked = marked.withColumn("_row", F.when(told, F.col("doc_id").cast("long")).otherwise(by_text))
+    found = linked(marked.select(F.col("_row").alias("doc_id"), "text"), threshold)
+    keys = found.where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return marked.join(keys, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
+
+
 def query(spark, folder):
     """Near-duplicates of all documents at similarity 0.85."""
     return linked(table(spark, folder, "documents"))

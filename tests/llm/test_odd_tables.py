@@ -1,11 +1,13 @@
 """Every operator on nulls, empty and very long texts, repeated rows, clashing columns and
 empty tables, with the results that the docstrings define."""
 
+import random
 import zlib
 
 import public_tokenizers
 import pytest
 
+from invented_texts import invented
 from nightledger.llm import language, licenses, mixing, neardup, packing, quality, sharding, spotsigs, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +73,27 @@ def test_near_duplicates(odd, none):
     assert neardup.one_of_each(none).collect() == []
 
 
+def test_rows_without_copies(odd, none):
+    frame, rows = odd
+    kept = neardup.without_copies(frame)
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    # Both texts under id 11 stay; the copy of row 1 that has no id goes, the empty row without one stays.
+    assert sorted((r.doc_id for r in got if r.doc_id is not None)) == [2, 3, 4, 5, 6, 8, 9, 11, 11, 12]
+    assert {r.text for r in got if r.doc_id == 11} == {r[1] for r in rows if r[0] == 11}
+    assert [r.text for r in got if r.doc_id is None] == [None]
+    assert neardup.without_copies(none).collect() == []
+
+
+def test_copies_without_an_id_and_texts_that_share_one(frame):
+    rng = random.Random(4)
+    texts = [invented(rng, "en", 80) for _ in range(6)]
+    rows = [(None, texts[0], "en", "a")] * 3 + [(7, t, "en", "b") for t in texts[:4]] + [(8, texts[4], "en", "c"), (8, texts[4], "en", "c")]
+    rows += [(9, texts[4] + " end", "en", "c"), (10, texts[5], "en", "c")]
+    got = neardup.without_copies(frame(rows)).collect()
+    assert sorted(r.text.removesuffix(" end") for r in got) == sorted(texts)
+
+
 def test_spotsigs(odd, none, frame):
     table, rows = odd
     got = spotsigs.compared(table).collect()
