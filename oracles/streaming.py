@@ -281,10 +281,9 @@ FROM pages LEFT JOIN site_cards USING (page_id) GROUP BY 1
 """,
     "site_cards",
 )
-_WORDS = "|".join(X.SECRET_WORDS)
+_CREDENTIAL = X.CREDENTIAL.replace("'", "''")
 SQL["k12_redacted_documents"] = f"""
 SELECT doc_id, md5(t) AS digest, ((length(t) - length(replace(t, '{X.MASK}', ''))) / {len(X.MASK)})::INT AS masked
-FROM (SELECT doc_id, regexp_replace(regexp_replace(text,
-        '(?i)\\b({_WORDS})\\b\\s*[=:]\\s*("[^"]*"|''[^'']*''|[^\\s,;)}}]+)', '\\1={X.MASK}', 'g'),
-        '://([^:/@\\s]+):([^@/\\s]+)@', '://\\1:{X.MASK}@', 'g') AS t FROM documents)
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{_CREDENTIAL}', '\\1={X.MASK}', 'g'),
+        '{X.ADDRESS_PASSWORD}', '://\\1:{X.MASK}@', 'g') AS t FROM documents)
 """
