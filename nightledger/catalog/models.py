@@ -126,10 +126,10 @@ def m4(spark, folder):
     """Holiday rows of the years the bookings cover, with one weight per holiday name."""
     years = W.bookings(spark, folder).agg(
         F.min(F.year("check_in_date")).alias("a"), (F.max(F.year("check_in_date")) + 2).alias("b")
-    )
-    known = C.holidays(spark, date(2024, 1, 1), date(2027, 12, 31)).join(
-        F.broadcast(years), F.year("day").between(F.col("a"), F.col("b"))
-    )
+    ).first()
+    known = C.holidays(spark, date(years.a or 2000, 1, 1), date(years.b or 2000, 12, 31))
+    if years.a is None:
+        known = known.limit(0)  # without bookings there is no year to list
     weight = known.groupBy("holiday_name").agg(
         F.greatest(F.lit(1.0), 10.0 * F.max("significance")).alias("prior_scale")
     )
