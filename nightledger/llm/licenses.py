@@ -1,18 +1,23 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text; longer ones are read in overlapping windows of ``WINDOW`` words,
-so whole texts are covered.  Words and word pairs are hashed and a multinomial logistic
-regression with an elastic-net penalty (so most weights are zero) names a licence family or
-``none``.  It is trained on notices made from the templates by rule and on windows drawn from the
-corpus that resemble no template; a held-out fifth calibrates the temperature and the constant of
+The lines of a text are read as one run of words, so that a notice may be wrapped anywhere, in
+overlapping windows of ``WINDOW`` words that cover it whole.  Words that every notice has
+(``ANCHORS``) get further, closer windows: the line they are in and ``CLOSE`` words around them.
+Words and word pairs are hashed and a multinomial logistic regression with an elastic-net penalty
+(so most weights are zero) names a licence family or ``none``.  It is trained on notices made from
+the templates by rule, alone and between words of the corpus, and on windows drawn from the corpus
+that resemble no template; a held-out fifth calibrates the temperature and the constant of
 ``none``.  A named family is confirmed where enough word pairs of one of its templates are there.
 
+``paragraph`` is the line (from 0) in which the template's words begin.  Findings of a family that
+share words are one result, and words that another family's template explains better confirm none.  The clause that both BSD licences have is named as the shorter one.
+
 Only DataFrame functions and MLlib transformers are used.  Bounds: about ``NEGATIVES`` corpus
 windows are drawn by hash for training; everything is scanned.
 
-Edge cases: null and empty texts have no paragraphs with words and give no rows; rows that repeat
-give one result; a null doc_id is kept; an empty table gives an empty result; other columns are
-ignored.
+Edge cases: null and empty texts have no words and give no rows; rows that repeat give one result;
+different texts under one doc_id, or without one, give results each; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +28,18 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightledger.llm.common import store, table
 
 WINDOW, STRIDE = 96, 80
+CLOSE, STEP = 36, 12
+VARIANTS, LONG, PROSE = 5, 16, 256
+COMPARED = 4
 FEATURES = 1 << 12
 NEGATIVES, SAMPLED_DOCUMENTS = 2_000, 400
-ALIKE, UNLIKE = 0.6, 0.3
+ALIKE, UNLIKE, LEAST = 0.6, 0.3, 0.1
 NONE = "none"
 TOKEN = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
@@ -67,6 +75,8 @@ PASSAGES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files, to deal in the Software without restriction, including without limitation the rights to "
         "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software",
     ],
     "Apache-2.0": [
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
@@ -90,6 +100,14 @@ PASSAGES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; either version 2 of the License, or any later version",
     ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
@@ -97,12 +115,20 @@ PASSAGES = {
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness",
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
         "use, compile, sell, or distribute this software",
     ],
 }
+# Words of which every notice or passage has one.
+ANCHORS = [
+    "agpl", "apache", "bsd", "cc", "cc0", "commons", "disclaims", "expat", "gnu", "gpl", "isc", "lgpl", "licence", "licenced",
+    "license", "licensed", "mit", "mozilla", "mpl", "permission", "redistribute", "redistribution", "redistributions",
+    "spdx", "sublicense", "unencumbered", "unlicense", "warranties", "warranty",
+]
 NEAR_MISSES = [
     "The driver showed the licence to the officer.",
     "A new version of the report was released under pressure.",
@@ -118,11 +144,36 @@ def words(text: Column) -> Column:
 
 
 def windows(documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line from 0) and words of every window of every paragraph."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", words(F.col("line")).alias("all")).where(F.size("all") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - (WINDOW - STRIDE)), F.lit(STRIDE))
-    return lines.withColumn("at", F.explode(starts)).select("doc_id", "paragraph", F.slice("all", F.col("at"), WINDOW).alias("words"))
+    """doc_id, text_hash, place (of the first word), words and their lines (from 0) of every window of every text."""
+    anchor = lambda w: w.isin(ANCHORS)
+    texts = documents.where("text IS NOT NULL").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.transform(F.split("text", "\n"), words).alias("by_line")
+    )
+    texts = texts.select(
+        "doc_id",
+        "text_hash",
+        "by_line",
+        F.flatten("by_line").alias("all"),
+        F.flatten(F.transform("by_line", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("line_of"),
+    ).where(F.size("all") > 0)
+    last = F.size("all") - 1
+    anchored = F.filter(F.sequence(F.lit(0), last), lambda i: anchor(F.get("all", i)))
+    texts = texts.withColumn("close", F.array_distinct(F.transform(anchored, lambda i: F.greatest(F.lit(0), i - i % STEP - STEP))))
+    piece = lambda at, n: F.struct(
+        at.alias("place"), F.slice("all", at + 1, n).alias("words"), F.slice("line_of", at + 1, n).alias("lines")
+    )
+    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last - (WINDOW - STRIDE)), F.lit(STRIDE)), lambda at: piece(at, WINDOW))
+    around = F.transform("close", lambda at: piece(at, CLOSE))
+    begins = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("line_of", i) != F.get("line_of", i - 1)))
+    alone = F.zip_with(
+        begins,
+        F.filter("by_line", lambda ws: F.size(ws) > 0),
+        lambda i, ws: F.struct(i.alias("place"), ws.alias("words"), F.array_repeat(F.get("line_of", i), F.size(ws)).alias("lines")),
+    )
+    alone = F.filter(alone, lambda r: (F.size(r["words"]) <= WINDOW) & F.exists(r["words"], anchor))
+    alone = F.when(F.size("close") > 0, alone).otherwise(F.slice(alone, 1, 0))
+    texts = texts.select("doc_id", "text_hash", F.explode(F.concat(whole, around, alone)).alias("w"))
+    return texts.select("doc_id", "text_hash", "w.place", "w.words", "w.lines")
 
 
 def notices() -> list[tuple[str, str]]:
@@ -140,10 +191,34 @@ def _local(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.explode(structs).alias("r")).select("r.*")
 
 
+def in_prose(made: DataFrame, prose: DataFrame) -> DataFrame:
+    """Family and words of every notice: alone, cut at its end or start as at the edge of a window,
+    close to words of the corpus, and in the middle of a window of them."""
+    bucket = lambda h: F.pmod(h, F.lit(PROSE))
+    shelf = prose.groupBy(bucket(F.col("h")).alias("shelf")).agg(F.min_by("words", "h").alias("prose"))
+    long = F.size("words") > LONG
+    made = made.withColumn("v", F.explode(F.sequence(F.lit(0), F.when(long, VARIANTS * 3).otherwise(VARIANTS) - 1)))
+    made = made.withColumns({"turn": F.xxhash64("words", "v"), "variant": F.col("v") % VARIANTS})
+    n = F.size("words")
+    most = F.ceil(n * (0.6 + 0.4 * F.pmod(F.xxhash64("turn", "v"), F.lit(1000)) / 1000)).cast("int")
+    cut = F.when(long & (F.col("variant") == 2), F.slice("words", 1, most))
+    cut = cut.when(long & (F.col("variant") == 3), F.slice("words", n - most + 1, most)).otherwise(F.col("words"))
+    made = made.withColumn("shelf", bucket(F.col("turn"))).withColumn("notice", cut).join(shelf, "shelf", "left")
+    room = F.when(F.col("variant") == 0, 0).when(F.col("variant") == 1, CLOSE).otherwise(WINDOW) - F.size("notice")
+    room = F.greatest(F.lit(0), room)
+    before = F.pmod(F.xxhash64("turn"), room + 1).cast("int")
+    prose = F.coalesce("prose", F.slice("words", 1, 0))
+    return made.select("family", F.concat(F.slice(prose, 1, before), "notice", F.slice(prose, before + 1, room - before)).alias("words"))
+
+
+def neighbours(words_: Column) -> Column:
+    """The word pairs of a word list, in order; a single word stands for itself."""
+    return F.zip_with(F.slice(words_, 1, F.greatest(F.size(words_) - 1, F.lit(1))), F.slice(words_, 2, WINDOW * 4), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def pairs_of(words_: Column) -> Column:
-    """The distinct word pairs of a word list; a single word stands for itself."""
-    both = F.zip_with(F.slice(words_, 1, F.greatest(F.size(words_) - 1, F.lit(1))), F.slice(words_, 2, WINDOW * 4), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(both)
+    """The distinct word pairs of a word list."""
+    return F.array_distinct(neighbours(words_))
 
 
 def _templates(spark: SparkSession) -> dict[str, list[list[str]]]:
@@ -175,20 +250,44 @@ class Scanner:
         return out.drop("features", "rawPrediction", "probability", "prediction", "grams", "two")
 
     def named(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``words``) that are named a family: family, probability, similarity, confirmed."""
+        """``rows`` (with ``words``) that are named a family: family, probability, similarity, confirmed.
+
+        Where all families together reach ``LEAST``, the ``COMPARED`` likeliest are compared with their
+        templates; an unconfirmed one is kept only if it is likelier than all else."""
         none = self.families.index(NONE)
         z = F.transform("z", lambda x, i: x / self.temperature + F.when(i == none, self.offset).otherwise(0.0))
-        top = F.array_max("s")
         out = self.logits(rows).withColumn("s", z)
-        out = out.withColumn("at", F.array_position("s", top)).where(F.col("at") != none + 1)
-        share = F.lit(1.0) / F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-        out = out.withColumns({"family": F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("at").cast("int")), "probability": share})
-        out = out.withColumn("pairs", pairs_of(F.col("words")))
-        similarity = F.lit(0.0)
-        for family, templates in self.templates.items():
-            similarity = F.when(F.col("family") == family, resemblance(F.col("pairs"), templates)).otherwise(similarity)
-        out = out.withColumn("similarity", similarity).drop("pairs", "z", "s", "at")
-        return out.withColumn("confirmed", F.col("similarity") >= ALIKE)
+        out = out.withColumn("s", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
+        out = out.withColumn("total", F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x))
+        out = out.where(F.get("s", F.lit(none)) <= (1 - LEAST) * F.col("total"))
+        likely = F.transform("s", lambda x, i: F.struct((x / F.col("total")).alias("probability"), i.alias("at")))
+        likely = F.filter(likely, lambda r: r["at"] != none)
+        out = out.withColumn("c", F.explode(F.slice(F.sort_array(likely, asc=False), 1, COMPARED)))
+        family = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("c.at") + 1)
+        first = F.get("s", F.col("c.at")) == F.array_max("s")
+        out = out.withColumns({"family": family, "probability": F.col("c.probability"), "first": first}).drop("c", "total")
+        named = [F.when(F.col("family") == f, F.array(*[F.array(*[F.lit(x) for x in t]) for t in ts])) for f, ts in self.templates.items()]
+        out = out.withColumns({"pairs": neighbours(F.col("words")), "templates": F.coalesce(*named)})
+        share = lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t)
+        fit = F.array_max(F.transform("templates", lambda t: F.struct(share(t).alias("share"), F.size(t).alias("n"), t.alias("t"))))
+        out = out.withColumn("fit", fit).drop("templates", "z", "s")
+        hits = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.array_contains("fit.t", F.get("pairs", i)))
+        out = out.withColumn("hits", hits)
+        # Where the template's pairs lie closest; common pairs also occur elsewhere.
+        near = lambda i: F.filter("hits", lambda j: (j >= i) & (j < i + F.col("fit.n") * 3 / 2))
+        run = F.array_max(F.transform("hits", lambda i: F.struct(F.size(near(i)).alias("n"), (-i).alias("first"), F.array_max(near(i)).alias("last"))))
+        out = out.withColumn("run", run)
+        begin = F.coalesce(-F.col("run.first"), F.lit(0))
+        out = out.withColumns(
+            {
+                "similarity": F.col("fit.share"),
+                "confirmed": F.col("fit.share") >= ALIKE,
+                "paragraph": F.get("lines", begin),
+                "start": F.col("place") + begin,
+                "end": F.col("place") + F.coalesce(F.col("run.last") + 1, F.lit(0)),
+            }
+        )
+        return out.where("confirmed OR first").drop("pairs", "fit", "hits", "run", "first")
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -210,8 +309,9 @@ def train(documents: DataFrame) -> Scanner:
     some = store(some.select("words", F.xxhash64("words").alias("h")).distinct(), "license-windows")
     unlike = resemblance(pairs_of(F.col("words")), [t for ts in templates.values() for t in ts]) < UNLIKE
     turn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) * float(max(1, some.count())) < NEGATIVES
-    drawn = some.where(turn).where(unlike).select(F.lit(NONE).alias("family"), "words")
-    rows = made.unionByName(drawn).withColumn("held", F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 0)
+    drawn = store(some.where(turn).where(unlike), "license-prose")
+    rows = in_prose(made, drawn).unionByName(drawn.select(F.lit(NONE).alias("family"), "words"))
+    rows = rows.distinct().withColumn("held", F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 0)
     rows = store(rows.withColumn("label", label.cast("double")), "license-training")
     sizes = {r["family"]: r["n"] for r in rows.where("NOT held").groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = F.element_at(F.create_map(*[F.lit(v) for f, n in sizes.items() for v in (f, 100.0 / n * (4 if f == NONE else 1))]), F.col("family"))
@@ -239,12 +339,30 @@ def calibrated(z: np.ndarray, label: np.ndarray, none: int) -> tuple[float, floa
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed of every named paragraph."""
     found = train(documents).named(windows(documents))
-    best = F.struct("confirmed", "probability", "similarity")
-    return (
-        found.groupBy("doc_id", "paragraph", "family")
-        .agg(F.max(best).alias("b"))
-        .select("doc_id", "paragraph", "family", "b.probability", "b.similarity", "b.confirmed")
+    best = F.struct("confirmed", "similarity", "probability")
+    key = ["doc_id", "text_hash", "family"]
+    found = found.groupBy(*key, "start", "paragraph").agg(F.max("end").alias("end"), F.max(best).alias("b"))
+    # A family is not confirmed by words that another one's template explains better; both lie
+    # within a window's length, so only a few findings are looked at.
+    close = Window.partitionBy("doc_id", "text_hash").orderBy("start").rangeBetween(-WINDOW, WINDOW)
+    found = found.withColumn("rivals", F.collect_set(F.struct("family", "start", "end", "b.similarity")).over(close))
+    beaten = F.exists(
+        "rivals",
+        lambda r: (r["family"] != F.col("family"))
+        & (r["similarity"] > F.col("b.similarity"))
+        & (r["start"] < F.col("end"))
+        & (r["end"] > F.col("start")),
     )
+    found = found.withColumn("b", F.struct((F.col("b.confirmed") & ~beaten).alias("confirmed"), "b.similarity", "b.probability")).drop("rivals")
+    # Findings of one family that share words are one.
+    order = Window.partitionBy(*key).orderBy("start", "paragraph")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    found = found.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sure = F.min(F.when(F.col("b.confirmed"), F.col("paragraph")))
+    merged = found.groupBy(*key, "run").agg(F.coalesce(sure, F.min("paragraph")).alias("paragraph"), F.max("b").alias("b"))
+    merged = merged.groupBy(*key, "paragraph").agg(F.max("b").alias("b"))
+    return merged.select("doc_id", "paragraph", "family", "b.probability", "b.similarity", "b.confirmed")
 
 
 def query(spark, folder):

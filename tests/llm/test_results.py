@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -343,6 +344,56 @@ def test_licenses_of_planted_notices(frame):
     assert {(g.doc_id, g.paragraph, g.family) for g in got} == {(i, 1, f) for i, f in planted.items()}
 
 
+#: Standard paragraphs of five licences.
+STANDARD = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_licenses_in_prose_wrapped_and_in_blocks(frame):
+    """Notices between words, over a line break and as standard paragraphs; clean texts name none."""
+    rng, rows, want = random.Random(7), [], {}
+
+    def add(text, family, kind):
+        want[len(rows)] = family, kind
+        rows.append((len(rows), text, "en", "s"))
+
+    for family in sorted(licenses.NAMES) * 2:
+        for name in licenses.NAMES[family]:
+            notice = f"This project is licensed under the {name.removeprefix('the ')}.".split()
+            before, after = invented(rng, "en", 40), invented(rng, "en", 40)
+            add(" ".join([before, *notice, after]), family, "within")
+            add(" ".join([before, *notice[:-2]]) + "\n" + " ".join([*notice[-2:], after]), family, "wrapped")
+    for family, text in STANDARD.items():
+        for block in (text, textwrap.fill(text, 72), textwrap.indent(textwrap.fill(text, 70), "# ")):
+            add(block, family, "block")
+            add(invented(rng, "en", 50) + "\n" + block + "\n" + invented(rng, "en", 50), family, "block within")
+    for _ in range(200):
+        add("\n".join(invented(rng, rng.choice(["en", "de", "fr"]), rng.randint(3, 200)) for _ in range(4)), None, "clean")
+    both = "Released under the MIT License.\nReleased under the Apache License 2.0.\n" + invented(rng, "en", 90) + "\nISC License"
+    rows += [(None, both, "en", "s"), (None, rows[0][1], "en", "s"), (None, rows[0][1], "en", "s")]
+    got = defaultdict(set)
+    for g in licenses.scan(frame(rows)).where("confirmed").collect():
+        got[g.doc_id].add((g.family, g.paragraph))
+    assert not {i for i, (family, _) in want.items() if {f for f, _ in got[i]} - {family}}
+    for kind in ("within", "wrapped", "block", "block within"):
+        these = [i for i, (_, k) in want.items() if k == kind]
+        assert sum(bool(got[i]) for i in these) >= 0.95 * len(these), kind
+    assert got[None] == {("MIT", 0), ("Apache-2.0", 1), ("ISC", 3), (want[0][0], 0)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the supplied tables")
 def test_pipeline_equals_its_parts(spark):
     """Each stage against its operator's decisions on the same rows, and the packed end by a round trip."""
