@@ -146,7 +146,7 @@ def words(text: Column) -> Column:
 def windows(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, place (of the first word), words and their lines (from 0) of every window of every text."""
     anchor = lambda w: w.isin(ANCHORS)
-    texts = documents.where("text IS NOT NULL").select(
+    texts = documents.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.transform(F.split("text", "\n"), words).alias("by_line")
     )
     texts = texts.select(
@@ -155,7 +155,7 @@ def windows(documents: DataFrame) -> DataFrame:
         "by_line",
         F.flatten("by_line").alias("all"),
         F.flatten(F.transform("by_line", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("line_of"),
-    ).where(F.size("all") > 0)
+    )
     last = F.size("all") - 1
     anchored = F.filter(F.sequence(F.lit(0), last), lambda i: anchor(F.get("all", i)))
     texts = texts.withColumn("close", F.array_distinct(F.transform(anchored, lambda i: F.greatest(F.lit(0), i - i % STEP - STEP))))
@@ -221,14 +221,12 @@ def pairs_of(words_: Column) -> Column:
     return F.array_distinct(neighbours(words_))
 
 
-def _templates(spark: SparkSession) -> dict[str, list[list[str]]]:
-    """Word pairs of each family's templates: its names, its identifier and the passages."""
+def _templates(spark: SparkSession) -> DataFrame:
+    """Family and word pairs of each of its templates: its names, its identifier and the passages."""
     rows = [(f, n) for f, names in NAMES.items() for n in names] + [(f, p) for f, ps in PASSAGES.items() for p in ps]
     rows += [(f, f"SPDX-License-Identifier: {f}") for f in NAMES]
-    out: dict[str, list[list[str]]] = {}
-    for r in _local(spark, rows).select("family", pairs_of(words(F.col("text"))).alias("p")).collect():
-        out.setdefault(r["family"], []).append(r["p"])
-    return out
+    pairs = _local(spark, rows).select("family", pairs_of(words(F.col("text"))).alias("p"))
+    return store(pairs.groupBy("family").agg(F.collect_list("p").alias("templates")), "license-templates")
 
 
 def resemblance(pairs: Column, templates: list[list[str]]) -> Column:
@@ -241,7 +239,7 @@ def resemblance(pairs: Column, templates: list[list[str]]) -> Column:
 class Scanner:
     model: LogisticRegressionModel
     families: list[str]
-    templates: dict[str, list[list[str]]]
+    compared: DataFrame
     temperature: float = 1.0
     offset: float = 0.0
 
@@ -255,9 +253,10 @@ class Scanner:
         Where all families together reach ``LEAST``, the ``COMPARED`` likeliest are compared with their
         templates; an unconfirmed one is kept only if it is likelier than all else."""
         none = self.families.index(NONE)
-        z = F.transform("z", lambda x, i: x / self.temperature + F.when(i == none, self.offset).otherwise(0.0))
-        out = self.logits(rows).withColumn("s", z)
-        out = out.withColumn("s", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
+        # Exploding a list of one keeps filters on what follows from being restated over the model.
+        out = self.logits(rows).withColumn("z", F.explode(F.array("z")))
+        s = F.transform("z", lambda x, i: F.exp(F.least(F.lit(500.0), x / self.temperature + F.when(i == none, self.offset).otherwise(0.0))))
+        out = out.withColumn("s", F.explode(F.array(s)))
         out = out.withColumn("total", F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x))
         out = out.where(F.get("s", F.lit(none)) <= (1 - LEAST) * F.col("total"))
         likely = F.transform("s", lambda x, i: F.struct((x / F.col("total")).alias("probability"), i.alias("at")))
@@ -266,8 +265,7 @@ class Scanner:
         family = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("c.at") + 1)
         first = F.get("s", F.col("c.at")) == F.array_max("s")
         out = out.withColumns({"family": family, "probability": F.col("c.probability"), "first": first}).drop("c", "total")
-        named = [F.when(F.col("family") == f, F.array(*[F.array(*[F.lit(x) for x in t]) for t in ts])) for f, ts in self.templates.items()]
-        out = out.withColumns({"pairs": neighbours(F.col("words")), "templates": F.coalesce(*named)})
+        out = out.withColumn("pairs", neighbours(F.col("words"))).join(F.broadcast(self.compared), "family")
         share = lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t)
         fit = F.array_max(F.transform("templates", lambda t: F.struct(share(t).alias("share"), F.size(t).alias("n"), t.alias("t"))))
         out = out.withColumn("fit", fit).drop("templates", "z", "s")
@@ -300,10 +298,13 @@ def featured(rows: DataFrame) -> DataFrame:
 def train(documents: DataFrame) -> Scanner:
     """A scanner whose unknown class comes from ``documents``."""
     spark = documents.sparkSession
-    templates = _templates(spark)
+    compared = _templates(spark)
+    templates = {r["family"]: r["templates"] for r in compared.collect()}
     families = sorted(NAMES) + [NONE]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     made = _local(spark, notices() + [(NONE, t) for t in NEAR_MISSES]).select("family", words(F.col("text")).alias("words"))
+    # Written, since plans over the long lists of literals take minutes to prepare.
+    made = store(made, "license-notices")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     some = windows(documents.where(draw * float(max(1, documents.count())) < SAMPLED_DOCUMENTS))
     some = store(some.select("words", F.xxhash64("words").alias("h")).distinct(), "license-windows")
@@ -317,7 +318,7 @@ def train(documents: DataFrame) -> Scanner:
     weight = F.element_at(F.create_map(*[F.lit(v) for f, n in sizes.items() for v in (f, 100.0 / n * (4 if f == NONE else 1))]), F.col("family"))
     fitting = featured(rows.where("NOT held")).withColumn("weight", weight).select("features", "label", "weight")
     regression = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.5, family="multinomial", weightCol="weight", standardization=False)
-    scanner = Scanner(regression.fit(fitting), families, templates)
+    scanner = Scanner(regression.fit(fitting), families, compared)
     held = scanner.logits(rows.where("held")).select("z", "label").collect()
     scanner.temperature, scanner.offset = calibrated(np.array([r["z"] for r in held]), np.array([int(r["label"]) for r in held]), families.index(NONE))
     return scanner
