@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,7 +126,7 @@ PASSAGES = {
 # Words of which every notice or passage has one.
 ANCHORS = [
     "agpl", "apache", "bsd", "cc", "cc0", "commons", "disclaims", "expat", "gnu", "gpl", "isc", "lgpl", "licence", "licenced",
-    "license", "licensed", "mit", "mozilla", "mpl", "permission", "redistribute", "redistribution", "redistributions",
+    "license", "licensed", "mozilla", "mpl", "permission", "redistribute", "redistribution", "redistributions",
     "spdx", "sublicense", "unencumbered", "unlicense", "warranties", "warranty",
 ]
 NEAR_MISSES = [
@@ -245,7 +245,7 @@ class Scanner:
 
     def logits(self, rows: DataFrame) -> DataFrame:
         out = self.model.transform(featured(rows)).withColumn("z", vector_to_array("rawPrediction"))
-        return out.drop("features", "rawPrediction", "probability", "prediction", "grams", "two")
+        return out.drop("features", "rawPrediction", "probability", "prediction", "grams")
 
     def named(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``words``) that are named a family: family, probability, similarity, confirmed.
@@ -290,8 +290,7 @@ class Scanner:
 
 def featured(rows: DataFrame) -> DataFrame:
     """Hashed words and word pairs of ``words``."""
-    rows = NGram(n=2, inputCol="words", outputCol="two").transform(rows)
-    rows = rows.withColumn("grams", F.concat("words", "two"))
+    rows = rows.withColumn("grams", F.concat("words", neighbours(F.col("words"))))
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
 
 
