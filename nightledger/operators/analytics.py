@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nightledger.config import FEATURES, GRAIN, ROOM_KEY, TARGET
 from nightledger.functions.numeric import ratio
 from nightledger.operators.quantiles import exact_quantiles
+from nightledger.sources.files import write_and_read
 
 WINDOW_NIGHTS = 30
 
@@ -66,13 +67,29 @@ def estate_overview(hotels: DataFrame, kpis: DataFrame) -> DataFrame:
 
 
 def revpar_ranking(hotels: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Hotels by revenue per available room, the best first; equals share a rank.
+    """Hotels by revenue per available room, the best first; equals share a rank, none comes last.
 
-    A hotel is one row here, and only hotels are ranked together.
+    A place is one more than the number of better hotels: those of better ranges of values, then
+    those of better values in the same range.  Hotels are counted per value first, so neither a
+    range nor a value that many hotels share gathers them in one task.
     """
-    rank = F.rank().over(Window.orderBy(F.desc("revpar")))
     traded = hotels.select("hotel_id", "city").join(kpis.select("hotel_id", "revpar"), "hotel_id")
-    return traded.select(rank.alias("place"), "hotel_id", "city", "revpar")
+    # Written, since the values are counted, ranged and joined with the hotels again.
+    traded = write_and_read(traded, "ranking-hotels")
+    values = traded.groupBy("revpar").agg(F.count("*").alias("_n"))
+    ranged = values.repartitionByRange(F.desc("revpar")).withColumn("_range", F.spark_partition_id())
+    ranged = write_and_read(ranged, "ranking-values")
+    # One row per range, of which there are as many as shuffle partitions.
+    earlier = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = (
+        ranged.groupBy("_range").agg(F.sum("_n").alias("_size")).select("_range", F.coalesce(earlier, F.lit(0)).alias("_ahead"))
+    )
+    better = F.sum("_n").over(
+        Window.partitionBy("_range").orderBy(F.desc("revpar")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    places = ranged.withColumn("_better", F.coalesce(better, F.lit(0))).join(ahead, "_range")
+    places = places.select(F.col("revpar").alias("_value"), F.expr("int(1 + _ahead + _better)").alias("place"))
+    return traded.join(places, F.col("revpar").eqNullSafe(F.col("_value"))).select("place", "hotel_id", "city", "revpar")
 
 
 def nightly_facts(

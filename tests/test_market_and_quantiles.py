@@ -62,3 +62,18 @@ def test_health_window_takes_every_row(spark):
     )
     stats = monitoring.prediction_stats(rows, date(2026, 1, 2)).first()
     assert stats.n == 12_000 and stats.latency_p95_ms == round(float(np.quantile(np.arange(12_000), 0.95)), 2)
+
+
+def test_places_with_equals_across_ranges(spark):
+    revpars = [float(i % 211) for i in range(3_000)] + [500.0] * 1_500 + [0.5, 999.0]
+    rows = [(f"H{i}", "city", r) for i, r in enumerate(revpars)] + [("none", "city", None), ("none too", None, None)]
+    table = spark.createDataFrame(rows, "hotel_id string, city string, revpar double")
+    got = analytics.revpar_ranking(table.drop("revpar"), table.drop("city"))
+    places = {r.hotel_id: (r.place, r.revpar) for r in got.collect()}
+    first = {}
+    for i, r in enumerate(sorted(revpars, reverse=True)):
+        first.setdefault(r, i + 1)
+    first[None] = len(revpars) + 1
+    assert places == {h: (first[r], r) for h, _, r in rows}
+    assert analytics.revpar_ranking(table.drop("revpar").limit(0), table.drop("city")).count() == 0
+    assert got.schema["place"].dataType.simpleString() == "int"
