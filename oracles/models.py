@@ -217,8 +217,8 @@ SQL["m5_fit_report"] = compose(
     """
 SELECT hotel_id, room_type, days >= 90 AS fitted, days AS n_observations,
        CASE WHEN days < 90 THEN days::VARCHAR || ' days of history, 90 needed' END AS error
-FROM (SELECT hotel_id, room_type, date_diff('day', min(ds), max(ds)) + 1 AS days FROM series
-      WHERE room_type <> 'suite' OR ds >= DATE '2025-11-01' GROUP BY 1, 2)
+FROM (SELECT hotel_id, CASE WHEN room_type = 'suite' AND ds >= DATE '2025-11-01' THEN 'suite, recent' ELSE room_type END AS room_type,
+             date_diff('day', min(ds), max(ds)) + 1 AS days FROM series GROUP BY 1, 2)
 """,
     "series",
 )
