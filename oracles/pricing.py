@@ -219,6 +219,29 @@ SQL["p17_waterfall"] = compose(
     ),
     "adjusted",
 )
+def explained() -> str:
+    """The account of a decision, one line per part; halves are rounded away from zero."""
+    def money(x: str) -> str:
+        return f"format('{{:,}}', round({x})::BIGINT)"
+
+    lines = [f"'Base rate: INR ' || {money('base_price')}"]
+    lines += [
+        f"printf('{n.title()}: %+.1f%%', round({n}_adjustment * 100, 1))"
+        for n in ("demand", "occupancy", "competitor", "season", "event")
+    ]
+    lines.append(f"'Unguarded price: INR ' || {money('raw_price')}")
+    hits = ", ".join(
+        f"CASE WHEN p{i + 1} IS DISTINCT FROM p{i} THEN '{n} ' || {money(f'p{i}')} || ' to ' || {money(f'p{i + 1}')} END"
+        for i, n in enumerate(["SANITY_CHECK"] + [r[0] for r in _RULES])
+    )
+    lines.append(f"'Guardrails: ' || coalesce(nullif(concat_ws('; ', {hits}), ''), 'none')")
+    lines.append(f"'Final price: INR ' || {money('final_price')}")
+    return f"CASE WHEN pricing_error IS NULL THEN concat_ws(chr(10), {', '.join(lines)}) END"
+
+
+SQL["p19_explanation"] = compose(
+    f"SELECT {GRAIN}, {explained()} AS explanation FROM guarded_grid", "guarded_grid"
+)
 cte(
     "swept_grid",
     """
