@@ -312,3 +312,30 @@ def without_copies(documents: DataFrame, threshold: int = THRESHOLD) -> DataFram
 def query(spark, folder):
     """Near-duplicates of all documents at similarity 0.85."""
     return linked(table(spark, folder, "documents"))
+
+
+#: The same links by joining shingle lists; each round of ``reach`` follows one more link.
+SQL = r"""
+WITH RECURSIVE read_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(s) AS h1, md5_number_lower(s) AS h2 FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM read_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+reach AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least_id, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(c.least_id, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of c USING (doc_id)
+"""

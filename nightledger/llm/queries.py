@@ -36,6 +36,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_top_k": topk.SQL,
+    "op6_bbit_minhash": neardup.SQL,
     "op7_rendezvous_shards": sharding.SQL,
     "op8_source_mix": mixing.SQL,
     "op12_kronecker_negatives": negatives.SQL,
