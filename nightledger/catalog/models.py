@@ -213,6 +213,19 @@ def m10(spark, folder):
     return metric_digits(out.drop("smape", "weighted_mape", "mape_coverage"))
 
 
+@QUERIES.add("m10_metrics_by_hotel")
+def m10b(spark, folder):
+    """Metrics of every hotel, and of its worst and best room type, as a regressor is served per hotel."""
+    rows = scored(spark, folder)
+    by_hotel = E.metrics_by(rows, "hotel_id").drop("smape", "weighted_mape", "mape_coverage")
+    series = F.concat_ws("/", "hotel_id", "room_type")
+    rooms = E.metrics_by(rows.withColumn("series", series), "series")
+    spread = rooms.groupBy(F.substring_index("series", "/", 1).alias("hotel_id")).agg(
+        F.count("*").alias("room_types"), F.min("mae").alias("least_mae"), F.max("mae").alias("most_mae")
+    )
+    return settled(metric_digits(by_hotel.join(spread, "hotel_id", "left")), least_mae=6, most_mae=6)
+
+
 @QUERIES.add("m13_improvement")
 def m13(spark, folder):
     out = E.improvement(E.metrics_by(scored(spark, folder), "room_type"))

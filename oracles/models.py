@@ -173,6 +173,16 @@ SELECT {g}, count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae,
 FROM (SELECT *, avg(actual) OVER (PARTITION BY {g}) AS m FROM scored) GROUP BY {g} HAVING count(*) >= 5
 """
 SQL["m10_metrics_by_horizon"] = compose(_BY.format(g="days_to_checkin"), "scored")
+SQL["m10_metrics_by_hotel"] = compose(
+    f"""
+SELECT h.*, room_types, least_mae, most_mae
+FROM ({_BY.format(g="hotel_id")}) h LEFT JOIN (
+  SELECT hotel_id, count(*) AS room_types, round(min(e), 6) AS least_mae, round(max(e), 6) AS most_mae
+  FROM (SELECT hotel_id, room_type, avg(abs(actual - predicted)) AS e FROM scored GROUP BY 1, 2 HAVING count(*) >= 5)
+  GROUP BY 1) r ON r.hotel_id = h.hotel_id
+""",
+    "scored",
+)
 SQL["m13_improvement"] = compose(
     """
 SELECT room_type, round(avg(abs(actual - predicted)), 6) AS mae, round(avg(abs(actual - m)), 6) AS baseline_mae,
