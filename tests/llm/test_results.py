@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import textwrap
@@ -239,6 +240,61 @@ def test_code_lengths_are_exact():
     assert trees.lengths(data)[0] == pytest.approx(walk)
 
 
+def plain_code_lengths(rows):
+    """Method C by dictionaries: a function of language and text that gives the text's bits."""
+    counts, overall = {}, Counter()
+    for text, lang in rows:
+        data = b"\0\0\0" + text.lower().encode()
+        for at in range(3, len(data)):
+            for k in range(4):
+                context = data[at - k : at]
+                counts.setdefault((lang, context), Counter())[data[at]] += 1
+                overall[context] += 1
+
+    def share(lang, context, byte):
+        while overall[context] < (1, 1, 2, 4)[len(context)] and context:
+            context = context[1:]
+        seen = counts.get((lang, context), {})
+        shorter = (lambda b: share(lang, context[1:], b)) if context else (lambda b: 1 / 256)
+        total = sum(seen.values()) + len(seen)
+        if byte in seen:
+            return seen[byte] / total
+        return (len(seen) / total if seen else 1.0) * shorter(byte) / (1 - sum(shorter(b) for b in seen))
+
+    def bits(lang, text):
+        data = b"\0\0\0" + text.lower().encode()
+        return -sum(math.log2(share(lang, data[i - 3 : i], data[i])) for i in range(3, len(data)))
+
+    return bits
+
+
+def test_language_query_equals_plain_prediction_by_partial_matching(spark, frame, tmp_path):
+    rng = random.Random(16)
+    rows = [(i, invented(rng, lang, rng.randint(1, 12)), lang, "s") for i in range(60) for lang in [rng.choice(["en", "de", "fr"])]]
+    rows += [(60, invented(rng, "de", 900), "de", "s"), rows[3], rows[3], (61, "1 2 3", "en", "s"), (62, None, "fr", "s")]
+    # Bytes that nothing else has, in documents that are scored only.
+    rows += [(i, t, None, "s") for i, t in enumerate(["\u0416 der", "", "\u4e2d\u6587", "Zug um Zug the le"], 63)]
+    frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = language.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, lang) for i, t, lang, _ in rows if t is not None and lang and not held(i)]
+    bits, langs, texts = plain_code_lengths(learned), sorted({lang for _, lang in learned}), {r[0]: r[1] for r in rows}
+    for r in got:
+        text = texts[r.doc_id]
+        assert r.held_out == held(r.doc_id)
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        if len(text) > 2_000:  # slow to walk; learned above all the same
+            assert r.lang_pred == "de"
+            continue
+        cost = {lang: bits(lang, text) for lang in langs}
+        best = min(langs, key=cost.get)
+        assert r.lang_pred == best, text
+        assert r.score == pytest.approx(1 / sum(2.0 ** (cost[best] - c) for c in cost.values()), rel=1e-3)
+
+
 def test_language_held_out(frame):
     rng = random.Random(6)
     rows = [(i, invented(rng, lang, rng.randint(8, 60)), lang, "s") for i in range(300) for lang in [rng.choice(["en", "de", "fr"])]]
