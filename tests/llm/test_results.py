@@ -271,7 +271,7 @@ def plain_code_lengths(rows):
 def test_language_query_equals_plain_prediction_by_partial_matching(spark, frame, tmp_path):
     rng = random.Random(16)
     rows = [(i, invented(rng, lang, rng.randint(1, 12)), lang, "s") for i in range(60) for lang in [rng.choice(["en", "de", "fr"])]]
-    rows += [(60, invented(rng, "de", 900), "de", "s"), rows[3], rows[3], (61, "1 2 3", "en", "s"), (62, None, "fr", "s")]
+    rows += [(70, invented(rng, "de", 900), "de", "s"), rows[3], rows[3], (61, "1 2 3", "en", "s"), (62, None, "fr", "s")]
     # Bytes that nothing else has, in documents that are scored only.
     rows += [(i, t, None, "s") for i, t in enumerate(["\u0416 der", "", "\u4e2d\u6587", "Zug um Zug the le"], 63)]
     frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
