@@ -243,8 +243,12 @@ ANCHOR_BLOCKS = BLOCKS + ", positive_ids binary, positive_scores binary, positiv
 
 
 def _tiled(blocks: DataFrame, tiles: int, others: int, own: str, other: str) -> DataFrame:
-    """Each block once for every tile of the other side."""
-    tile = F.pmod(F.xxhash64("block"), F.lit(tiles)).alias(own)
+    """Each block once for every tile of the other side.
+
+    Both numbers are of one type: co-grouped keys of different types hash differently, and so may
+    never meet.
+    """
+    tile = F.pmod(F.xxhash64("block"), F.lit(tiles)).cast("int").alias(own)
     return blocks.select("*", tile, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
 

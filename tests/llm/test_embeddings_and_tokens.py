@@ -110,6 +110,26 @@ def test_negatives_equal_brute_force(vectors, monkeypatch, scale):
     assert got == mined(x, labels, range(300), range(0, 300, 25)) and len(got) > 300
 
 
+def test_negatives_meet_all_candidates_in_many_partitions(vectors, monkeypatch):
+    """Tiles of both sides meet wherever their keys are dealt to, not only in one partition."""
+    for name, value in (("BLOCK", 40), ("TILE", 90), ("ANCHORS", 4)):
+        monkeypatch.setattr(negatives, name, value)
+    rng = np.random.default_rng(6)
+    v, labels = rng.normal(size=(300, 7)) + 0.6, rng.integers(0, 4, 300)
+    frame = vectors([(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(v, labels))])
+    conf = frame.sparkSession.conf
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {name: conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            conf.set(name, value)
+        got = sorted(tuple(g) for g in negatives.mine(frame, "vec_id % 25 = 0").collect())
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+    assert got == mined(np.floor(v * 256).astype(object), labels, range(300), range(0, 300, 25)) and len(got) > 300
+
+
 def test_fields_hold_extremes():
     for low, high in ((0, 0), (-256, 255), (255, 255), (-1, 0), (-(1 << 30), (1 << 30) - 1)):
         rng = np.random.default_rng(3)
