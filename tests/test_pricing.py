@@ -121,3 +121,37 @@ def test_blend_of_estimates(spark):
     assert stored.blended_demand == 0.4 and stored.confidence == 0.25
     assert nothing.blended_demand == 0.65 and nothing.demand_lower == pytest.approx(0.45)
     assert apart.notes == ["estimates disagree"]
+
+
+def test_nights_are_summed_once_for_decisions(spark, monkeypatch):
+    """Context, models and history of a reprice, and both audit tables, read what is written once."""
+    from nightledger.catalog import pricing as Q
+
+    nights = [("H001", "deluxe", date(2025, 11, 1 + i), 0.5, 0.5) for i in range(20)]
+    built, seen = [], {}
+
+    def stored(spark, folder):
+        built.append(folder)
+        return spark.createDataFrame(nights, "hotel_id string, room_type string, stay_date date, target_demand double, occupancy_rate double")
+
+    def reprice(context, models, history):
+        seen.update(context=context, history=history)
+        return context
+
+    monkeypatch.setattr(Q, "stored", stored)
+    monkeypatch.setattr(Q, "context", lambda spark, folder, features=None: stored(spark, folder) if features is None else features)
+    monkeypatch.setattr(Q.P, "reprice", reprice)
+    Q.decisions(spark, "f")
+    assert built == ["f"]
+    assert all(len(frame.inputFiles()) > 0 for frame in seen.values())
+    assert seen["context"].count() == 20
+
+    def audit_tables(decisions, *rest):
+        seen["audit"] = decisions
+        out = decisions.selectExpr("cast(stay_date AS STRING) AS prediction_id", "1D AS final_recommended_price")
+        return out, out
+
+    monkeypatch.setattr(Q, "decisions", lambda spark, folder: stored(spark, folder))
+    monkeypatch.setattr(Q.P, "audit_tables", audit_tables)
+    assert [tuple(r) for r in Q.p16(spark, "f").collect()] == [(20, 20)]
+    assert len(seen["audit"].inputFiles()) > 0
