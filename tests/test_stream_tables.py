@@ -150,6 +150,14 @@ def test_three_counters_grow(spark, tmp_path):
     assert got() == {**want, ("observations", "site"): 3}
 
 
+def test_moved_counters_are_read_from_what_was_written(spark, tmp_path, monkeypatch):
+    source, root, checkpoint = (str(tmp_path / n) for n in ("in", "counters", "checkpoint"))
+    read, write_parts = [], K.write_parts
+    monkeypatch.setattr(K, "write_parts", lambda rows, *rest: read.append(rows.inputFiles()) or write_parts(rows, *rest))
+    I.count_on(events(spark, source, [("site", None, None)]), root, checkpoint).awaitTermination()
+    assert len(read) == 1 and read[0]  # files, and not the state of the stream once more
+
+
 def test_what_became_of_messages(spark, tmp_path):
     def faulty():
         tried = {}
