@@ -30,30 +30,36 @@ def daily_series(stored: DataFrame, day: str = "stay_date", value: str = "target
 
 
 def fill_gaps(series: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Every calendar day of a series, missing days on the line between their neighbours."""
-    span = series.groupBy(*keys).agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
-    spine = span.select(*keys, F.explode(F.sequence("a", "b")).alias("ds"))
-    before = Window.partitionBy(*keys).orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("ds").rowsBetween(0, Window.unboundedFollowing)
-    known_day = F.when(F.col("y").isNotNull(), F.col("ds"))
+    """Every calendar day of a series, missing days on the line between their neighbours.
+
+    Each row stands for the days up to the next one, so one pass in order of the days does.
+    """
+    ordered = Window.partitionBy(*keys).orderBy("ds")
+    before = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.expr("CASE WHEN y IS NOT NULL THEN struct(ds AS d, y AS y) END")
+    window = ", ".join(f"`{k}`" for k in keys)
     return (
-        spine.join(series, [*keys, "ds"], "left")
+        series.where(F.col("ds").isNotNull())
+        .withColumn("_known", known)
         .select(
             *keys,
             "ds",
             "y",
-            F.last("y", ignorenulls=True).over(before).alias("_y0"),
-            F.last(known_day, ignorenulls=True).over(before).alias("_d0"),
-            F.first("y", ignorenulls=True).over(after).alias("_y1"),
-            F.first(known_day, ignorenulls=True).over(after).alias("_d1"),
+            F.lead("ds").over(ordered).alias("_next"),
+            F.last("_known", ignorenulls=True).over(before).alias("_a"),
+            F.expr(f"lead(_known) IGNORE NULLS OVER (PARTITION BY {window} ORDER BY ds)").alias("_b"),
+        )
+        .withColumn(
+            "_day",
+            F.explode(F.expr("sequence(ds, greatest(ds, date_sub(coalesce(_next, ds), 1)))")),
         )
         .select(
             *keys,
-            "ds",
+            F.col("_day").alias("ds"),
             F.expr(
-                "CASE WHEN y IS NOT NULL THEN y"
-                " WHEN _y0 IS NULL THEN _y1 WHEN _y1 IS NULL THEN _y0"
-                " ELSE _y0 + (_y1 - _y0) * datediff(ds, _d0) / datediff(_d1, _d0) END"
+                "CASE WHEN _day = ds AND y IS NOT NULL THEN y"
+                " WHEN _a IS NULL THEN _b.y WHEN _b IS NULL THEN _a.y"
+                " ELSE _a.y + (_b.y - _a.y) * datediff(_day, _a.d) / datediff(_b.d, _a.d) END"
             ).alias("y"),
         )
     )

@@ -66,6 +66,19 @@ def test_short_series_is_reported_and_long_one_has_months(spark):
     assert report["LONG"].fitted and not report["SHORT"].fitted and "90 needed" in report["SHORT"].error
 
 
+def test_gaps_are_filled_in_one_pass(spark, capsys):
+    day = lambda n: date(2025, 3, 1) + timedelta(days=n)
+    known = {"A": {0: 1.0, 1: 3.0, 4: 9.0, 5: None, 6: 5.0}, "B": {0: None, 2: 4.0, 4: None}, "C": {1: None}, "D": {None: 2.0}}
+    rows = [(h, "deluxe", None if n is None else day(n), y) for h, days in known.items() for n, y in days.items()]
+    filled = S.fill_gaps(spark.createDataFrame(rows, "hotel_id string, room_type string, ds date, y double"))
+    got = {(r.hotel_id, (r.ds - day(0)).days): r.y for r in filled.collect()}
+    a = [1.0, 3.0, 5.0, 7.0, 9.0, 7.0, 5.0]
+    assert got == {**{("A", n): y for n, y in enumerate(a)}, **{("B", n): 4.0 for n in range(5)}, ("C", 1): None}
+    filled.explain()
+    plan = capsys.readouterr().out.lower()
+    assert "join" not in plan and "unboundedfollowing" not in plan  # the latter looks ahead anew from every day
+
+
 def psi_by_hand(reference, current, bins=10):
     edges = np.unique(np.percentile(reference, np.linspace(0, 100, bins + 1)))
     edges[0], edges[-1] = -np.inf, np.inf
