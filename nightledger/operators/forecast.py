@@ -103,22 +103,15 @@ def fit(
     month = Window.partitionBy(*keys, "month")
     holiday = Window.partitionBy(*keys, "term")
 
-    def factor(parts: str, window) -> F.Column:
-        top, bottom = F.sum("y").over(window), F.sum(F.expr(parts)).over(window)
-        return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0))
-
     def ridge(x: str, window, scale: F.Column) -> F.Column:
         weight = F.lit(1.0) / (scale * scale)
         return (F.sum(F.expr(f"y * {x}")).over(window) + weight) / (F.sum(F.expr(f"{x} * {x}")).over(window) + weight)
 
     frame = (
-        filled.withColumns(
-            {
-                "t": F.expr(f"cast(datediff(ds, {_ORIGIN}) AS DOUBLE)"),
-                "weekday": F.expr("weekday(ds)"),
-                "month": F.expr("month(ds)"),
-            }
-        )
+        filled.withColumn("weekday", F.expr("weekday(ds)"))
+        # Sums by weekday come first: their order of rows serves those of the whole series too.
+        .withColumn("_by_weekday", F.sum("y").over(weekday))
+        .withColumns({"t": F.expr(f"cast(datediff(ds, {_ORIGIN}) AS DOUBLE)"), "month": F.expr("month(ds)")})
         .withColumns(
             {
                 "n": F.count("*").over(whole),
@@ -129,7 +122,10 @@ def fit(
         )
         .where(F.col("n") >= config.min_training_days)
         .withColumn("trend", F.expr("intercept + slope * t"))
-        .withColumn("weekly", factor("trend", weekday))
+        .withColumn(
+            "weekly",
+            F.coalesce(F.col("_by_weekday") / F.nullif(F.sum("trend").over(weekday), F.lit(0.0)), F.lit(1.0)),
+        )
         # Looked up only where there are enough days to use it.
         .withColumn("_holiday", F.when(F.col("n") >= config.min_days_for_holidays, holiday_term("ds")))
         .withColumns({"term": F.col("_holiday.term"), "scale": F.col("_holiday.scale")})
@@ -265,8 +261,13 @@ def backtest(
         {"_n": F.count("*").over(whole), "_end": F.max("ds").over(whole)}
     ).where(F.col("_n") >= config.min_training_days + k * h)
     folds = ", ".join(str(f) for f in range(1, k + 1))
-    folded = sized.withColumn("fold", F.expr(f"explode(array({folds}))")).withColumn(
-        "_cutoff", F.expr(f"date_sub(_end, fold * {h})")
+    # Dealt out again by fold, so that the size of a task is that of what it sorts, not a k-th of it.
+    folded = (
+        sized.withColumn("fold", F.expr(f"explode(array({folds}))"))
+        .withColumn("_cutoff", F.expr(f"date_sub(_end, fold * {h})"))
+        .where(f"ds <= date_add(_cutoff, {h})")
+        .select(*keys, "fold", "ds", "y", "_cutoff")
+        .repartition(*keys, "fold")
     )
     train = folded.where("ds <= _cutoff").select(*keys, "fold", "ds", "y")
     test = folded.where(f"ds > _cutoff AND ds <= date_add(_cutoff, {h})").select(

@@ -79,6 +79,12 @@ def test_gaps_are_filled_in_one_pass(spark, capsys):
     assert "join" not in plan and "unboundedfollowing" not in plan  # the latter looks ahead anew from every day
 
 
+def test_folds_are_dealt_out_before_they_are_sorted(spark, capsys):
+    S.backtest(S.fill_gaps(daily(spark, 420))).explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_COL" in plan  # else a task sorts every fold of what it was sized for
+
+
 def psi_by_hand(reference, current, bins=10):
     edges = np.unique(np.percentile(reference, np.linspace(0, 100, bins + 1)))
     edges[0], edges[-1] = -np.inf, np.inf
