@@ -111,3 +111,18 @@ def test_redelivery_and_new_checkpoint_add_nothing(spark, tmp_path):
     assert I.current_signals(spark, tables).count() == 1
     poison = spark.read.parquet(f"{tables}/dead_letters")
     assert poison.where("value = 'broken'").count() == 2
+
+
+def test_checked_messages_are_kept_without_their_text(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    texts = [message(), "not json", message({"hotel_id": "H999"}, event_id="e2")]
+    spark.createDataFrame([(None, t) for t in texts], "key string, value string").coalesce(1).write.parquet(source)
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    hotels, rooms = frames(spark)
+    I.ingest(I.message_stream(spark, source), out, checkpoint, lambda: hotels, lambda: rooms, DAY).awaitTermination()
+    staged = spark.read.parquet(f"{out}/staged")
+    assert {"key", "payload"}.isdisjoint(staged.columns)
+    assert [r.value for r in staged.where("value IS NOT NULL").collect()] == ["not json"]
+    assert [r.value for r in spark.read.parquet(f"{out}/dead_letters").collect()] == ["not json"]
+    assert [r.event_id for r in spark.read.parquet(f"{out}/bookings").collect()] == ["e1"]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit  # of the stream's session only
