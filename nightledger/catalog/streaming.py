@@ -46,12 +46,9 @@ def booking_messages(spark: SparkSession, folder: str) -> DataFrame:
             ),
         }
     )
-    wrapped = E.wrap(rows.withColumn("_lead", F.col("lead_time_days")), "booking")
-    lead = F.expr(
-        "datediff(cast(get_json_object(value, '$.payload.check_in_date') AS DATE),"
-        " cast(get_json_object(value, '$.payload.booking_date') AS DATE))"
-    )
-    return wrapped.withColumn("_lead", lead).selectExpr(
+    lead = F.datediff("check_in_date", "booking_date")
+    wrapped = E.wrap(rows.withColumn("_lead", lead), "booking", "synthetic", "_lead")
+    return wrapped.selectExpr(
         "key",
         "CASE WHEN _lead = 3 THEN substring(value, 1, 40)"
         " WHEN _lead = 4 THEN regexp_replace(value, '^[{]', '{\"extra\":1,')"
@@ -72,14 +69,9 @@ def rate_messages(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     local = "date_format(timestampadd(MINUTE, 330, cast(t AS TIMESTAMP)), \"yyyy-MM-dd'T'HH:mm:ss\")"
+    said = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return (
-        E.wrap(rows, "competitor_price")
-        .withColumns(
-            {
-                "t": F.expr("get_json_object(value, '$.timestamp')"),
-                "n": F.expr("cast(get_json_object(value, '$.event_id') AS BIGINT)"),
-            }
-        )
+        E.wrap(rows.withColumns({"t": said, "n": F.expr(k)}), "competitor_price", "synthetic", "t", "n")
         .selectExpr(
             "key",
             "CASE n % 3 WHEN 0 THEN value WHEN 1 THEN replace(value, t, replace(t, 'Z', ''))"

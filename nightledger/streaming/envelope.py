@@ -53,6 +53,23 @@ def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+#: JSON text to a map of text.  Numbers that ``json_object_keys`` does not know are not read here
+#: either, so text that gives a map is an object to both.
+_MAP = "from_json({0}, 'MAP<STRING, STRING>', map('allowNonNumericNumbers', 'false'))"
+#: Bytes up to which no string in a text can be too long for ``json_object_keys``.
+PLAIN_BYTES = 10_000_000
+
+
+def _plain(fields: str, values: str, named, known: str) -> str:
+    """Whether all keys of a map are among the ``known`` ones and come once; ``values`` is a struct
+    of what it holds for the ``named`` ones.  Keys are compared only where a value is null."""
+    given = " + ".join(f"cast({values}.{n} IS NOT NULL AS INT)" for n in named)
+    # A function of a lambda keeps a projection out of whole-stage code, where it would add to a
+    # method that is too long for the JVM to compile by then.
+    compared = f"size(array_distinct(filter(map_keys({fields}), k -> array_contains({known}, k))))"
+    return f"coalesce(size({fields}) = {given} OR size({fields}) = {compared}, false)"
+
+
 def counted(events: DataFrame, stage: str, reason: str) -> DataFrame:
     """Count the events passing a stage and those it marked, as metrics of the job.
 
@@ -65,18 +82,30 @@ def counted(events: DataFrame, stage: str, reason: str) -> DataFrame:
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """Envelope columns from a ``value`` column of JSON text, with a poison reason.
+    """Envelope columns from a ``value`` column of JSON text, with a poison reason, and the fields
+    of the payload as a map for :func:`check_payload`.
 
     Only the type and the payload are required.  A missing id gets a fresh one, so such
     a message can never be recognised as a redelivery.
     """
     ddl = ", ".join(f"{name} STRING" for name in ENVELOPE_FIELDS)
     text = F.col("value").cast("string")
-    frame = raw.withColumn("_text", text).withColumns(
-        {
-            "_keys": F.expr("json_object_keys(_text)"),
-            "_e": F.from_json("_text", ddl),
-        }
+    # A plain text is parsed once, into a map; one that names a field twice or an unknown one, or
+    # is no such object, is judged by its keys and a struct.
+    found = ", ".join(f"'{n}', try_element_at(_map, '{n}')" for n in ENVELOPE_FIELDS)
+    known = f"array({_quoted(ENVELOPE_FIELDS)})"
+    plain = f"octet_length(_text) < {PLAIN_BYTES} AND {_plain('_map', '_v', ENVELOPE_FIELDS, known)}"
+    frame = (
+        raw.withColumn("_text", text)
+        .withColumn("_map", F.expr(_MAP.format("_text")))
+        .withColumn("_v", F.expr(f"named_struct({found})"))
+        .withColumn("_plain", F.expr(plain))
+        .withColumns(
+            {
+                "_keys": F.expr("CASE WHEN NOT _plain THEN json_object_keys(_text) END"),
+                "_e": F.when(F.col("_plain"), F.col("_v")).otherwise(F.from_json("_text", ddl)),
+            }
+        )
     )
     frame = frame.withColumns(
         {
@@ -86,36 +115,55 @@ def decode(raw: DataFrame) -> DataFrame:
             "event_time": F.expr("try_to_timestamp(_e.timestamp)"),
             "event_source": F.expr("coalesce(_e.source, 'synthetic')"),
             "payload": F.col("_e.payload"),
+            "_fields": F.expr(_MAP.format("_e.payload")),
         }
     )
     reason = first_reason(
         [
-            ("not_an_object", "_keys IS NULL"),
+            ("not_an_object", "NOT _plain AND _keys IS NULL"),
             (
                 "unknown_envelope_field",
-                f"size(array_except(_keys, array({_quoted(ENVELOPE_FIELDS)}))) > 0",
+                f"NOT _plain AND size(array_except(_keys, {known})) > 0",
             ),
             ("unknown_event_type", f"event_type IS NULL OR event_type NOT IN ({_quoted(EVENT_TYPES)})"),
-            ("missing_payload", "payload IS NULL OR json_object_keys(payload) IS NULL"),
+            (
+                "missing_payload",
+                f"payload IS NULL OR ((_fields IS NULL OR octet_length(payload) >= {PLAIN_BYTES})"
+                " AND json_object_keys(payload) IS NULL)",
+            ),
             ("unsupported_version", f"version IS NULL OR version < 1 OR version > {SUPPORTED_VERSION}"),
             ("bad_timestamp", "_e.timestamp IS NOT NULL AND event_time IS NULL"),
             ("source_too_long", "length(event_source) > 32"),
         ]
     )
+    columns = ("event_id", "event_type", "version", "event_time", "event_source", "payload", "_fields")
     return counted(
-        frame.withColumn("poison", reason).drop("_text", "_keys", "_e"), "decoded", "poison"
+        frame.select(*raw.columns, *columns, reason.alias("poison")), "decoded", "poison"
     )
 
 
 def check_payload(decoded: DataFrame, as_of: date) -> DataFrame:
     """Typed payload columns and the first structural rule a payload breaks."""
     ddl = ", ".join(f"{name} STRING" for name in _ALL_FIELDS)
-    frame = decoded.withColumns(
-        {
-            "_keys": F.expr("CASE WHEN poison IS NULL THEN json_object_keys(payload) END"),
-            "p": F.from_json(F.when(F.col("poison").isNull(), F.col("payload")), ddl),
-        }
+    kinds = list(PAYLOADS)
+    kind = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(kinds))
+
+    def found(name: str) -> str:
+        """A field is looked up only in payloads that may have it."""
+        having = [str(i) for i, k in enumerate(kinds) if name in _names(PAYLOADS[k])]
+        return f"'{name}', CASE WHEN _kind IN ({', '.join(having)}) THEN try_element_at(_fields, '{name}') END"
+
+    allowed = " ".join(f"WHEN {i} THEN array({_quoted(_names(PAYLOADS[k]))})" for i, k in enumerate(kinds))
+    known = _plain("_fields", "_v", _ALL_FIELDS, f"CASE _kind {allowed} END")
+    frame = (
+        decoded.withColumn("_kind", F.expr(f"CASE WHEN poison IS NULL THEN CASE event_type {kind} END END"))
+        .withColumn("_v", F.expr(f"named_struct({', '.join(map(found, _ALL_FIELDS))})"))
+        .withColumn("_known", F.expr(f"_kind IS NOT NULL AND {known}"))
+    )
+    typed = F.when(F.col("_known"), F.col("_v")).otherwise(
+        F.from_json(F.when(F.col("poison").isNull(), F.col("payload")), ddl)
     )
+    frame = frame.withColumn("p", typed)
     is_type = {name: f"event_type = '{name}'" for name in PAYLOADS}
 
     def number(name: str) -> str:
@@ -130,9 +178,6 @@ def check_payload(decoded: DataFrame, as_of: date) -> DataFrame:
         return f"(p.{name} IS NOT NULL AND NOT coalesce({value} {rule}, false))"
 
     score = "BETWEEN 0 AND 1"
-    allowed = " ".join(
-        f"WHEN '{name}' THEN array({_quoted(_names(fields))})" for name, fields in PAYLOADS.items()
-    )
     required = " OR ".join(
         f"({is_type[name]} AND ("
         + " OR ".join(f"p.{f[1:]} IS NULL" for f in fields if f.startswith("*"))
@@ -144,7 +189,12 @@ def check_payload(decoded: DataFrame, as_of: date) -> DataFrame:
         for f in ("check_in_date", "check_out_date", "booking_date", "stay_date")
     )
     reasons = [
-        ("unknown_payload_field", f"size(array_except(_keys, CASE event_type {allowed} END)) > 0"),
+        # The lambda keeps the rules out of whole-stage code too.
+        (
+            "unknown_payload_field",
+            "NOT _known AND exists(json_object_keys(payload),"
+            f" k -> NOT array_contains(CASE _kind {allowed} END, k))",
+        ),
         ("missing_payload_field", required),
         ("hotel_id_length", "length(p.hotel_id) NOT BETWEEN 1 AND 16"),
         ("unknown_room_type_value", f"p.room_type NOT IN ({_quoted(ROOM_TYPES)})"),
@@ -186,7 +236,7 @@ def check_payload(decoded: DataFrame, as_of: date) -> DataFrame:
         ),
     ]
     marked = frame.withColumn("poison", F.coalesce(F.col("poison"), first_reason(reasons)))
-    return counted(marked.drop("_keys"), "checked", "poison")
+    return counted(marked.drop("_fields", "_kind", "_v", "_known"), "checked", "poison")
 
 
 def check_references(
@@ -198,15 +248,17 @@ def check_references(
     pass, unless ``strict``: an empty table usually means the loader has not run yet.
     """
     empty = hotels.agg((F.count("*") == 0)).scalar()
-    known = hotels.select(F.col("hotel_id").alias("_h"), F.lit(True).alias("_hotel")).distinct()
+    known = hotels.select(F.col("hotel_id").alias("_h"), F.lit(True).alias("_hotel")).dropna().distinct()
     offered = rooms.select(
         F.col("hotel_id").alias("_rh"), F.col("room_type").alias("_rt"), F.lit(True).alias("_room")
-    ).distinct()
+    ).dropna().distinct()
+    # Null is not among the keys, so null-safe equality is equality.  The optimizer traces plain
+    # equality back to the scan, through all the expressions that a payload comes from.
     joined = (
-        checked.join(known, F.col("p.hotel_id") == F.col("_h"), "left")
+        checked.join(known, F.col("p.hotel_id").eqNullSafe(F.col("_h")), "left")
         .join(
             offered,
-            (F.col("p.hotel_id") == F.col("_rh")) & (F.col("p.room_type") == F.col("_rt")),
+            F.col("p.hotel_id").eqNullSafe(F.col("_rh")) & F.col("p.room_type").eqNullSafe(F.col("_rt")),
             "left",
         )
         .withColumn("_empty", empty)
@@ -291,8 +343,9 @@ def signals_of(accepted: DataFrame) -> DataFrame:
     )
 
 
-def wrap(rows: DataFrame, event_type: str, source: str = "synthetic") -> DataFrame:
-    """Key and JSON envelope for rows with ``event_id``, ``event_time`` and payload columns."""
+def wrap(rows: DataFrame, event_type: str, source: str = "synthetic", *kept: str) -> DataFrame:
+    """Key and JSON envelope for rows with ``event_id``, ``event_time`` and payload columns, beside
+    the columns that are ``kept``."""
     fields = [n for n in _names(PAYLOADS[event_type]) if n in rows.columns]
     payload = F.struct(*fields)
     envelope = F.struct(
@@ -303,4 +356,4 @@ def wrap(rows: DataFrame, event_type: str, source: str = "synthetic") -> DataFra
         F.lit(source).alias("source"),
         payload.alias("payload"),
     )
-    return rows.select(F.col("hotel_id").alias("key"), F.to_json(envelope).alias("value"))
+    return rows.select(F.col("hotel_id").alias("key"), F.to_json(envelope).alias("value"), *kept)

@@ -1,6 +1,7 @@
 """Decoding, checks and idempotent ingestion."""
 
 import json
+import re
 from datetime import date
 
 from nightledger.streaming import envelope as E
@@ -126,3 +127,48 @@ def test_checked_messages_are_kept_without_their_text(spark, tmp_path):
     assert [r.value for r in spark.read.parquet(f"{out}/dead_letters").collect()] == ["not json"]
     assert [r.event_id for r in spark.read.parquet(f"{out}/bookings").collect()] == ["e1"]
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit  # of the stream's session only
+
+
+def test_rules_are_made_of_methods_that_the_jvm_compiles(spark):
+    raw = spark.range(3).selectExpr("cast(id AS STRING) AS value")
+    plan = E.check_payload(E.decode(raw), DAY)._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenString(plan)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < I.COMPILED
+
+
+def test_a_join_with_references_does_not_multiply_the_expressions(spark):
+    hotels, rooms = frames(spark)
+    raw = spark.range(3).selectExpr("cast(id AS STRING) AS value")
+    joined = E.classify(raw, hotels, rooms, DAY)._jdf.queryExecution().analyzed().toString()
+    # Plain equality of keys is traced back to the scan, null-safe equality is not.
+    assert "<=> _h#" in joined and "= _h#" not in joined.replace("<=> _h#", "")
+    unknown = spark.createDataFrame([(None, "deluxe"), ("H001", None)], "hotel_id string, room_type string")
+    row = E.classify(spark.createDataFrame([(message(),)], "value string"), hotels, unknown, DAY).first()
+    assert row.rejected == "unknown_room_type"
+
+
+def test_fields_that_come_twice_or_null_or_as_odd_numbers(spark):
+    whole = message()
+    payload = json.dumps(BOOKING)
+    texts = [
+        whole[:-1] + ', "event_type": "mystery"}',  # the last one counts
+        whole.replace('"event_type": "booking"', '"event_type": "mystery", "event_type": "booking"'),
+        whole.replace("}}", ', "booking_count": -1}}'),
+        whole.replace("}}", ', "adr": null, "channel": null}}'),
+        whole.replace("}}", ', "price": 1}}'),
+        whole.replace("}}", ', "adr": NaN}}'),
+        whole.replace("}}", ', "adr": "NaN"}}'),
+        whole.replace('"version": 1', '"version": Infinity'),
+        whole.replace('"version": 1', '"version": null'),
+        whole.replace(payload, json.dumps(payload)),  # a payload in text
+        whole.replace(payload, json.dumps(payload.replace("}", ', "adr": NaN}'))),
+        whole + " and more",
+        f"[{whole}]",
+        whole.replace('"', "'"),
+        whole.replace("H001", "H\t01"),
+    ]
+    assert reasons(spark, *texts) == [
+        "unknown_event_type", None, "bad_booking_count", None, "unknown_payload_field", "not_an_object",
+        None, "not_an_object", None, None, "missing_payload", None, "not_an_object", None, "unknown_event_type",
+    ]
