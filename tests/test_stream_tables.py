@@ -5,6 +5,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from nightledger.config import GRAIN
+from nightledger.operators.merge import owned_merge
 from nightledger.streaming import ingest as I
 from nightledger.streaming import tables as K
 
@@ -194,3 +196,31 @@ def test_what_became_of_messages(spark, tmp_path):
     down.awaitTermination()
     outcomes = spark.read.parquet(f"{path}-down").groupBy("outcome").count().collect()
     assert {r.outcome: r["count"] for r in outcomes} == {"failed": 5, "dropped": 1}
+
+
+def test_stored_rows_are_read_once_and_keep_what_is_newer(spark, tmp_path, monkeypatch):
+    day = date(2025, 3, 1)
+    when = [datetime(2025, 3, 1, h) for h in range(4)]
+    columns = "hotel_id string, room_type string, stay_date date, search_demand double, signal_time timestamp, signal_event string"
+    stored = spark.createDataFrame(
+        [("A", "suite", day, 0.1, None, None), ("B", "suite", day, 0.2, when[2], "m"), ("C", "suite", day, 0.3, when[2], "m"),
+         ("D", "suite", day, 0.4, when[2], "m"), (None, "suite", day, 0.5, when[0], "m")], columns,
+    )
+    incoming = spark.createDataFrame(
+        [("A", "suite", day, 0.6, when[0], "a"), ("B", "suite", day, 0.7, when[1], "z"), ("C", "suite", day, 0.8, when[2], "n"),
+         ("D", "suite", day, 0.9, when[2], "m"), ("E", "suite", day, 1.0, None, None)], columns,
+    )
+    owned = ["search_demand", "signal_time", "signal_event"]
+    merged = owned_merge(stored, incoming, list(GRAIN), owned, [], ["signal_time", "signal_event"])
+    assert sorted((r.hotel_id or "", r.search_demand) for r in merged.collect()) == [
+        ("", 0.5), ("A", 0.6), ("B", 0.2), ("C", 0.8), ("D", 0.4), ("E", 1.0)
+    ]
+
+    # A change joins the stored rows once.
+    root, joins = str(tmp_path / "rows"), []
+    schema = K.create_features(stored.drop("signal_time", "signal_event"), root)
+    write = K.write_parts
+    monkeypatch.setattr(K, "write_parts", lambda rows, *a: joins.append(rows._jdf.queryExecution().analyzed().toString().count("Join ")) or write(rows, *a))
+    K.upsert_signals(spark, root, schema, incoming.withColumnsRenamed({"signal_time": "event_time", "signal_event": "event_id"}), "c")
+    assert joins == [1]
+    assert {r.hotel_id: r.search_demand for r in K.features(spark, root, schema).collect()}["B"] == 0.7  # not stamped yet
